@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .names import stem
 from .tokens import term_counts, tokenize
@@ -22,7 +23,7 @@ SIZE_VERY_CLOSE = 0.95
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching characters of two texts, by longest common blocks.
 

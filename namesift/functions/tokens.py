@@ -21,7 +21,7 @@ def token_bag(name: Column) -> Column:
 
     Names with equal bags score alike against every other name.
     """
-    return F.array_join(F.array_sort(tokenize(name)), " ")
+    return F.array_join(F.sort_array(tokenize(name)), " ")
 
 
 def bag_tokens(bag: Column) -> Column:
