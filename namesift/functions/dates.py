@@ -44,7 +44,8 @@ class Shape:
     @property
     def pattern(self) -> str:
         digits = self.separator.join(f"{DIGIT}{{{n}}}" for n in self.groups)
-        return f"(?<!{WORD}){digits}(?!{WORD})" if self.bounded else digits
+        # Looking for a digit first is quicker than looking back everywhere.
+        return f"(?={DIGIT})(?<!{WORD}){digits}(?!{WORD})" if self.bounded else digits
 
 
 # The shapes by name (fixed values). Readings name the order of the parts;
@@ -245,26 +246,34 @@ def _rewrite_by_date(text: Column, shape: Shape, pieces) -> Column:
     )
 
 
-def _rewrite_bound(text: Column, shape: Shape, pieces) -> Column:
-    # The rewrite by date reads its text twice. Binding the text to a lambda
-    # variable keeps a chain of passes linear in size.
-    bound = F.transform(F.array(text), lambda t: _rewrite_by_date(t, shape, pieces))
-    return F.element_at(bound, 1)
+def _run_pass(text: Column, shape: Shape, rewrite) -> Column:
+    """Rewrite texts that hold the shape, pass others on untouched.
+
+    The test and the rewrite both read the text. Binding it to a lambda
+    variable computes it once and keeps a chain of passes linear in size; a
+    skipped rewrite saves more time than generated code would.
+    """
+
+    def guarded(bound: Column) -> Column:
+        holds = F.rlike(bound, F.lit(shape.pattern))
+        if shape.separator:
+            holds = F.contains(bound, F.lit(shape.separator[-1])) & holds
+        return F.when(holds, rewrite(bound)).otherwise(bound)
+
+    return F.element_at(F.transform(F.array(text), guarded), 1)
 
 
 def rewrite_dates(text: Column, fmt: str = DEFAULT_FORMAT, passes=ALL_PASSES) -> Column:
     """Run the named passes, in the order given, over whole texts."""
     pieces = _format_pieces(fmt)
-    out = text
-    if all(kind == "text" or value in _COPIED for kind, value in pieces):
-        # Marks already in the text are doubled so that they survive.
-        out = F.replace(out, F.lit(MARK), F.lit(MARK * 2))
-        for key in passes:
-            out = _rewrite_by_template(out, SHAPES[key], pieces)
+    copied = all(kind == "text" or value in _COPIED for kind, value in pieces)
+    # Marks already in the text are doubled so that they survive.
+    out = F.replace(text, F.lit(MARK), F.lit(MARK * 2)) if copied else text
+    rewrite = _rewrite_by_template if copied else _rewrite_by_date
+    for key in passes:
+        out = _run_pass(out, SHAPES[key], lambda bound, shape=SHAPES[key]: rewrite(bound, shape, pieces))
+    if copied:
         out = F.replace(out, F.lit(MARK * 2), F.lit(MARK))
-    else:
-        for key in passes:
-            out = _rewrite_bound(out, SHAPES[key], pieces)
     return F.when(F.rlike(text, F.lit(ANY_SHAPE)), out).otherwise(text)
 
 

@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sorted samples of the order column cut it into FAN_OUT * FAN_OUT ranges.
+# A sorted sample of the order column, in FAN_OUT chunks of FAN_OUT values, cuts
+# it into ranges.
 FAN_OUT = 32
+# Rows looked at to find the sample.
+SAMPLED = 100_000
 
 
 def _bounds(rows: DataFrame, order: str) -> Column:
-    """A sorted sample of the column: a list of fixed length.
+    """The sample: chunks of sorted values and the last value of each chunk.
 
-    The rows with the smallest hashes are the sample. A task that runs again
-    picks the same ones.
+    Its length is fixed. Values are picked by their hashes, so a task that runs
+    again picks the same ones.
     """
-    sample = rows.select(order).orderBy(F.xxhash64(order), order).limit(FAN_OUT * FAN_OUT)
-    return sample.agg(F.sort_array(F.collect_set(order)).alias("bounds")).scalar()
+    span = 1 << 40
+    rate = F.lit(float(span * SAMPLED)) / rows.agg(F.count("*")).scalar()
+    hashed = F.pmod(F.xxhash64(order), F.lit(span))
+    values = rows.select(order).filter(hashed < rate).distinct()
+    sample = values.orderBy(F.xxhash64(order), order).limit(FAN_OUT * FAN_OUT)
+    ordered = sample.agg(F.sort_array(F.collect_list(order)).alias("all"))
+    chunks = ordered.select(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(FAN_OUT - 1)),
+            lambda i: F.slice("all", i * FAN_OUT + 1, F.lit(FAN_OUT)),
+        ).alias("chunks")
+    )
+    last = F.transform("chunks", lambda chunk: F.try_element_at(chunk, F.lit(-1)))
+    return chunks.select(F.struct("chunks", F.array_compact(last).alias("last"))).scalar()
 
 
 def _below(bounds: Column, value: Column) -> Column:
@@ -24,11 +39,10 @@ def _below(bounds: Column, value: Column) -> Column:
 
 
 def _range_of(bounds: Column, value: Column) -> Column:
-    """How many bounds lie below a value: first by every FAN_OUT-th bound, then
-    among those in between."""
-    coarse = F.filter(bounds, lambda _, i: i % FAN_OUT == FAN_OUT - 1)
-    full = _below(coarse, value) * FAN_OUT
-    return full + _below(F.slice(bounds, full + 1, F.lit(FAN_OUT)), value)
+    """How many bounds lie below a value: whole chunks first, then within one."""
+    whole = _below(bounds["last"], value)
+    within = F.coalesce(F.get(bounds["chunks"], whole), F.array())
+    return whole * FAN_OUT + _below(within, value)
 
 
 def with_sorted_index(rows: DataFrame, group: str, order: str, into: str = "idx") -> DataFrame:
@@ -37,9 +51,9 @@ def with_sorted_index(rows: DataFrame, group: str, order: str, into: str = "idx"
     A group may hold any share of the rows. Rows are numbered within ranges of
     the order column and shifted by the number of rows in earlier ranges.
     """
-    ranged = rows.withColumn("_bounds", _bounds(rows, order)).withColumn(
-        "_range", _range_of(F.col("_bounds"), F.col(order))
-    ).drop("_bounds")
+    # Never null, or the join below would have it computed again to filter.
+    number = F.coalesce(_range_of(F.col("_bounds"), F.col(order)), F.lit(0))
+    ranged = rows.withColumn("_bounds", _bounds(rows, order)).withColumn("_range", number).drop("_bounds")
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(group, "_range")

@@ -27,14 +27,14 @@ def preview_table(files: DataFrame, operations: Iterable, selection: DataFrame |
 
     ``selection`` holds names, or names with their ``parent``.
     """
-    cleaned = clean_names(files.select("parent", "name"), operations)
-    indexed = with_sorted_index(cleaned, "parent", "name")
+    indexed = with_sorted_index(files.select("parent", "name"), "parent", "name")
+    cleaned = clean_names(indexed, operations)
     if selection is None:
-        marked = indexed.withColumn("selected", F.lit(False))
+        marked = cleaned.withColumn("selected", F.lit(False))
     else:
         keys = [c for c in ("parent", "name") if c in selection.columns]
         chosen = selection.select(*keys).distinct().withColumn("_chosen", F.lit(True))
-        marked = indexed.join(chosen, keys, "left").withColumn(
+        marked = cleaned.join(chosen, keys, "left").withColumn(
             "selected", F.coalesce("_chosen", F.lit(False))
         )
     return marked.select(

@@ -58,14 +58,14 @@ def capitalized(upper_first: bool) -> str:
     return (
         "array_to_string(list_transform(regexp_extract_all({s}, '(?s)[^_\\-. ]*[_\\-. ]|[^_\\-. ]+'), "
         f"lambda p, i: case when {first} then lower(p) else "
-        f"concat({lead}, upper(substr(p, length({lead}) + 1, 1)), lower(substr(p, length({lead}) + 2))) end), '')"
+        f"concat({lead}, replace(upper(substr(p, length({lead}) + 1, 1)), 'ẞ', 'SS'), lower(substr(p, length({lead}) + 2))) end), '')"
     )
 
 
 def titled(text: str) -> str:
     return (
         rf"array_to_string(list_transform(regexp_extract_all({text}, '(?s)\pL+|\PL+'), "
-        "lambda r: concat(upper(substr(r, 1, 1)), lower(substr(r, 2)))), '')"
+        "lambda r: concat(replace(upper(substr(r, 1, 1)), 'ẞ', 'Ss'), lower(substr(r, 2)))), '')"
     )
 
 
@@ -361,7 +361,7 @@ CHECKS["format_percent"] = """
 select l_orderkey, l_linenumber, printf('%.1f%%', (l_orderkey % 1024) / 1024.0::double * 100) as percent from lineitem"""
 
 
-def matches(left: str, right: str, threshold: float, by_name: bool = False, all_pairs: bool = False) -> str:
+def matches(left: str, right: str, threshold: float, by_name: bool = False, all_pairs: bool = False, digits: int = 6) -> str:
     confidence = "sim" if by_name else "sim * 0.6::double + size_sim * 0.4::double"
     return f"""
 with l as (select *, lower({ext('name')}) as extension from {left} a),
@@ -382,8 +382,8 @@ scored as (
   from l join r on l.extension = r.extension
   {'left' if all_pairs else ''} join dots on p1 = l.path and p2 = r.path
   left join norms n1 on n1.path = concat('l', l.path) left join norms n2 on n2.path = concat('r', r.path))
-select * exclude (sim, size_sim), round(sim, 6) as name_similarity, round(size_sim, 6) as size_similarity,
-  round({confidence}, 6) as confidence, {reasons('sim', 'size_sim')} as reasons
+select * exclude (sim, size_sim), round(sim, {digits}) as name_similarity, round(size_sim, {digits}) as size_similarity,
+  round({confidence}, {digits}) as confidence, {reasons('sim', 'size_sim')} as reasons
 from scored where sim >= {threshold}::double - 1e-12"""
 
 
@@ -399,5 +399,5 @@ select file1_path as full_path_1, {readable('file1_size')} as size_1,
   file2_path as full_path_2, {readable('file2_size')} as size_2,
   printf('%.1f%%', name_similarity * 100) as name_match, printf('%.1f%%', size_similarity * 100) as size_match,
   printf('%.1f%%', confidence * 100) as confidence, reasons as reason
-from ({matches(LEFT, RIGHT, 0.7)}) m"""
+from ({matches(LEFT, RIGHT, 0.7, digits=15)}) m"""
 CHECKS["match_counts"] = f"select reasons, count(*) as matches from ({matches(LEFT, RIGHT, 0.7)}) m group by reasons"

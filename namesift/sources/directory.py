@@ -73,8 +73,9 @@ class DirectoryReader(DataSourceReader):
             flat, level = level, []
         return [Folder(path, False) for path in flat] + [Folder(path, True) for path in level]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, int]]:
-        return _list_files(partition)
+    def read(self, partition: InputPartition | None) -> Iterator[tuple[str, int]]:
+        # Spark asks once without a partition if there are none.
+        return _list_files(partition) if partition else iter(())
 
 
 class DirectorySource(DataSource):
