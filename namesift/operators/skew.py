@@ -98,4 +98,13 @@ def split_join(
     cut_left = cut(left, hot_left, "_ls", "_lshare", left_spread, hot_right, "_rs", "_rshare")
     cut_right = cut(right, hot_right, "_rs", "_rshare", right_spread, hot_left, "_ls", "_lshare")
     shares = ["_lshare"] * (hot_left is not None) + ["_rshare"] * (hot_right is not None)
-    return cut_left.join(cut_right, [*keys, *shares]).drop(*shares)
+    # The work grows with the pairs, not with the rows. Spreading the rows by key
+    # keeps few bytes with many pairs from being packed into one task.
+    spread_left = spread_rows(cut_left, [*keys, *shares])
+    return spread_left.join(cut_right, [*keys, *shares]).drop(*shares)
+
+
+def spread_rows(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows hashed over the session's number of shuffle partitions."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *by)

@@ -352,6 +352,11 @@ def find_duplicates_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(match.find_duplicates(*_sides(spark, sf_dir), use_tfidf=False))
 
 
+@query
+def find_duplicates_sequence_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(match.find_duplicates(*_sides(spark, sf_dir), name_threshold=0.9, use_tfidf=False))
+
+
 @query
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
