@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, bytes_of, mixed, slices, windows_in_texts, words_of
 
@@ -73,7 +74,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     ])
 
 
-@F.arrow_udf("struct<" + ",".join(f"{name}:double" for name in STATISTICS) + ">")
+@F.arrow_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in STATISTICS]))
 def text_statistics(texts: pa.Array) -> pa.Array:
     """``STATISTICS`` of each text as a struct; a null text counts as empty."""
     texts = pa.compute.fill_null(texts, "")
