@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, minhash, packing, quality, shards
+from . import bpe, exact, minhash, packing, quality, shards, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,3 +57,8 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(table(spark, sf_dir, "documents"), 24)
+
+
+@query
+def op10_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))

@@ -41,3 +41,21 @@ def near_duplicates(rows, percent=85):
                     a, b = b, a
                 parent[b] = a
     return sorted((rows[i][0], len(sets[i]), rows[root(i)][0]) for i in range(len(rows)))
+
+
+def removed_repeats(rows, length=50):
+    """(doc_id, bytes, removed, spans, kept) for rows of ids and texts; ids are different."""
+    first: dict = {}
+    out = []
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        mine = {raw[s : s + length] for s in range(len(raw) - length + 1)}
+        for s in range(len(raw) - length + 1):
+            if raw[s : s + length] in first:
+                gone[s : s + length] = b"\1" * length
+        for w in mine:
+            first.setdefault(w, i)
+        spans = sum(1 for p in range(len(raw)) if gone[p] and not (p and gone[p - 1]))
+        out.append((i, len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone, strict=True) if not g)))
+    return out
