@@ -3,6 +3,24 @@
 from __future__ import annotations
 
 CHECKS: dict[str, str] = {
+    "op3_line_bitmaps": r"""
+        with texts as (
+            select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        numbered as (
+            select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from texts),
+        keyed as (
+            select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from numbered),
+        frequent as (
+            select key, max(doc_id) as keeper from keyed where length(key) >= 20
+            group by key having count(distinct doc_id) >= 3),
+        judged as (
+            select k.*, f.key is not null and k.doc_id <> f.keeper as gone
+            from keyed k left join frequent f on k.key = f.key)
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+        from judged group by doc_id
+    """,
     "op7_content_sort": r"""
         with texts as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)

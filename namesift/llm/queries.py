@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, minhash, packing, quality, shards, suffixes
+from . import bpe, exact, lines, minhash, packing, quality, shards, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+@query
+def op3_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
