@@ -23,12 +23,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stored(rows: DataFrame) -> DataFrame:
+#: Spark's own setting: shuffle files of a query go when the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(rows: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """Write rows once and read them back.
 
     Later steps then neither repeat the work nor depend on shuffle files that
-    go away with an executor, and they see real sizes and columns.
+    go away with an executor, and they see real sizes and columns. The shuffle
+    files that led to the table are not needed after that and are removed.
+    ``settings`` hold for the session while the rows are written.
     """
-    path = f"{shared_folder(rows.sparkSession)}/namesift-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/namesift-{uuid.uuid4().hex}"
+    settings = {CLEANUP: "true", **(settings or {})}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+    return spark.read.schema(rows.schema).parquet(path)
