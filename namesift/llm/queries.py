@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, minhash, packing, quality, shards, suffixes
+from . import bpe, exact, lines, minhash, neighbours, ngrams, packing, quality, shards, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op3_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -59,6 +64,11 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(table(spark, sf_dir, "documents"), 24)

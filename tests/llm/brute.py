@@ -59,3 +59,34 @@ def removed_repeats(rows, length=50):
         spans = sum(1 for p in range(len(raw)) if gone[p] and not (p and gone[p - 1]))
         out.append((i, len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone, strict=True) if not g)))
     return out
+
+
+def backoff_scores(rows, order=3, backoff=0.4):
+    """(doc_id, words, log score) for rows of ids and texts."""
+    from collections import Counter
+    from math import log
+
+    def grams(words):
+        return Counter(tuple(words[i : i + n]) for n in range(1, order + 1) for i in range(len(words) - n + 1))
+
+    split = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    whole, total = Counter(), sum(len(w) for _, w in split)
+    for _, words in split:
+        whole.update(grams(words))
+    out = []
+    for i, words in split:
+        own, score = grams(words), 0.0
+        for at in range(len(words)):
+            factor = 1.0
+            for n in range(min(order, at + 1), 0, -1):
+                gram = tuple(words[at - n + 1 : at + 1])
+                seen = whole[gram] - own[gram]
+                if seen > 0:
+                    below = whole[gram[:-1]] - own[gram[:-1]] if n > 1 else max(total - len(words), 1)
+                    score += log(factor * seen / below)
+                    break
+                factor *= backoff
+            else:
+                score += log(factor / max(total - len(words), 1))
+        out.append((i, len(words), score))
+    return out
