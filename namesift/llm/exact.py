@@ -28,6 +28,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
+def digest(norm: Column) -> Column:
+    return F.sha2(F.encode(norm, "UTF-8"), 256)
+
+
 def splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
     """Ascending pairs of text beginning and id that cut the rows into about equal ranges.
 
@@ -77,7 +81,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     marked = ranged.withColumn("_new", new)
     run = F.sum(F.col("_new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     slim = stored(marked.select(
-        "_range", run.alias("_run"), "_new", "doc_id", F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256")
+        "_range", run.alias("_run"), "_new", "doc_id", digest(F.col("_norm")).alias("text_sha256")
     ))
     runs = slim.groupBy("_range", "_run", "text_sha256").agg(F.min("doc_id").alias("_min"), F.count("*").alias("_rows"))
     groups = runs.groupBy("text_sha256").agg(
@@ -87,3 +91,14 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return slim.join(known, ["_range", "_run"]).select(
         "doc_id", "keep_id", "group_size", (F.col("_new") & (F.col("_range") == F.col("_first"))).alias("kept"), "text_sha256"
     )
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``exact_duplicates`` keeps; of equal rows one."""
+    kept = exact_duplicates(docs, id_column, text_column).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
+    text = normalised(F.coalesce(docs[text_column].cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"), digest(text).alias("text"))
+    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["text"] == kept["kept_text"])
+    one = Window.partitionBy("id", "text").orderBy(F.lit(0))
+    found = rows.join(kept, same, "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

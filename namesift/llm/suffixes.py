@@ -18,12 +18,13 @@ single stretch. So no bucket is large and no occurrence is left out.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.stored import stored
 from .common import Rolling, U64, bytes_of, mixed, slices, text_rows
@@ -224,44 +225,48 @@ def _kept(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
-def _cut_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, int, int]]]]:
+def _cut(text: str, spans: pa.Scalar, copy: bool) -> tuple[bytes, int, int, int]:
+    """What is kept, the bytes removed, the runs removed and all bytes."""
+    raw = text.encode()
+    if copy:
+        return b"", len(raw), 1, len(raw)
+    table = np.empty((0, 2), np.int64)
+    if spans.is_valid:
+        table = np.column_stack([f.to_numpy() for f in spans.values.flatten()])
+    return (*_kept(raw, table), len(raw))
+
+
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        rows = []
-        for text, copy, spans in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(), part.column("spans"), strict=True):
-            raw = text.encode()
-            if copy:
-                rows.append((b"", len(raw), 1, len(raw)))
-            else:
-                flat = spans.values.flatten() if spans.is_valid else None
-                table = np.empty((0, 2), np.int64) if flat is None else np.column_stack([f.to_numpy() for f in flat])
-                rows.append((*_kept(raw, table), len(raw)))
-        yield part, rows
-
-
-def _digests(batches):
-    for part, rows in _cut_texts(batches):
+        rows = [_cut(*r) for r in zip(part.column("text").to_pylist(), part.column("spans"), part.column("copy").to_pylist(), strict=True)]
         yield pa.record_batch([
             part.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in (3, 1, 2)),
             pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows]),
         ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _texts(batches):
-    for part, rows in _cut_texts(batches):
-        kept = [r[0].decode("utf-8", "ignore") for r in rows]
-        keep = [part.column(c) for c in part.schema.names if c not in ("text", "copy", "spans")]
-        names = [c for c in part.schema.names if c not in ("text", "copy", "spans")]
-        yield pa.record_batch([*keep, pa.array(kept)], [*names, "kept_text"])
+@F.arrow_udf(T.StringType())
+def kept_text(text: pa.Array, spans: pa.Array, copy: pa.Array) -> pa.Array:
+    """Each text without its spans; a character that is cut goes whole."""
+    return pa.array([_cut(*r)[0].decode("utf-8", "ignore") for r in zip(text.to_pylist(), spans, copy.to_pylist(), strict=True)], pa.string())
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``row`` with all columns, ``doc_id``, ``text``, and ``doc`` and two hashes of the text to join by."""
+    text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
+    key = docs[id_column].cast("long")
+    return docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("doc_id"),
+        F.coalesce(key, F.lit((1 << 63) - 1)).alias("doc"),  # rows without id come after all others
+        F.xxhash64(text).alias("class"), F.xxhash64(F.lit(1), text).alias("class2"), text.alias("text"),
+    )
 
 
-def _with_spans(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, Column]:
-    """All rows of ``text_rows`` with ``spans`` to remove, and ``copy`` if all of the text goes."""
-    classes = (F.xxhash64("text").alias("class"), F.xxhash64(F.lit(1), "text").alias("class2"))
-    # Rows without id come after all others.
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
-    rows = text_rows(docs, id_column, text_column).select("doc_id", doc, "text", *classes)
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """The rows with ``spans`` to remove, and ``copy`` if all of the text goes."""
     long_rows = rows.filter(F.octet_length("text") >= LENGTH)
-    firsts = stored(long_rows.select("doc", "class", "class2").groupBy("class", "class2").agg(F.min("doc").alias("first")))
+    # Equal texts are one: its first document is looked at, the others go whole.
+    firsts = stored(long_rows.groupBy("class", "class2").agg(F.min("doc").alias("first")))
     anchors = long_rows.select("class", "text").mapInArrow(_anchors, "anchor long, class long")
     several = stored(anchors.groupBy("anchor").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a != _b").select("anchor"))
     shared = stored(anchors.join(several, "anchor", "left_semi").groupBy("class").agg(F.collect_set("anchor").alias("anchors")))
@@ -271,9 +276,10 @@ def _with_spans(docs: DataFrame, id_column: str, text_column: str) -> tuple[Data
     spans = stored(
         repeated_stretches(occurrences).groupBy("doc", "class").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     )
-    marks = rows.filter(F.octet_length("text") >= LENGTH).select("doc", "class", "class2").join(firsts, ["class", "class2"])
-    copies = stored(marks.filter("doc > first").select("doc", "class", F.lit(True).alias("copy")).distinct())
-    return rows.join(spans, ["doc", "class"], "left").join(copies, ["doc", "class"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    later = long_rows.select("doc", "class", "class2").join(firsts, ["class", "class2"]).filter("doc > first")
+    copies = stored(later.select("doc", "class", F.lit(True).alias("copy")).distinct())
+    marked = rows.join(spans, ["doc", "class"], "left").join(copies, ["doc", "class"], "left")
+    return marked.withColumn("copy", F.coalesce("copy", F.lit(False)))
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -281,17 +287,21 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A byte is removed if a stretch of ``LENGTH`` bytes over it also occurs in a
     document with a smaller id; stretches are bytes of UTF-8 and stay within a
-    document. Rows without id come after all others and rows that repeat an id
+    document. Rows without id come after all others, and rows that repeat an id
     never count as earlier than one another. A null text is empty, and texts
     shorter than a stretch stay. No rows in, no rows out.
     """
-    marked = _with_spans(docs, id_column, text_column)
+    marked = _with_spans(_keyed(docs, id_column, text_column).drop("row"))
     return marked.select("doc_id", "text", "copy", "spans").mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row's id and ``kept_text``, its text without the repeats; a character that is cut goes whole."""
-    marked = _with_spans(docs, id_column, text_column)
-    return marked.select("doc_id", "text", "copy", "spans").mapInArrow(_texts, "doc_id long, kept_text string")
+    """All rows and columns, with the text as ``remove_repeats`` leaves it; a character that is cut goes whole."""
+    marked = _with_spans(_keyed(docs, id_column, text_column))
+    cut = F.when(F.col("copy") | F.col("spans").isNotNull(), kept_text("text", "spans", "copy"))
+    changed = marked.select("row", cut.alias("_cut"))
+    return changed.select(*[
+        F.coalesce("_cut", F.col("row")[c]).alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns
+    ])
