@@ -28,4 +28,33 @@ CHECKS: dict[str, str] = {
             row_number() over (same order by doc_id) = 1 as kept, sha256(norm) as text_sha256
         from texts window same as (partition by norm)
     """,
+    "op9_jump_hash": r"""
+        with recursive remainders as (
+            select i, 0 as bit, i as value from range(256) r(i)
+            union all
+            select i, bit + 1, case when value % 2 = 1 then xor(value // 2, 3988292384) else value // 2 end
+            from remainders where bit < 8),
+        crc_table as (select list(value order by i) as steps from remainders where bit = 8),
+        digits as (
+            select doc_id, text, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
+                lambda d: (instr('0123456789ABCDEF', d[1]) - 1) * 16 + instr('0123456789ABCDEF', d[2]) - 1) as bytes
+            from documents),
+        sized as (
+            select doc_id, len(bytes) + 8 as size, xor(list_reduce(bytes,
+                lambda crc, b: xor(crc // 256, steps[xor(crc % 256, b) + 1]), 4294967295::bigint), 4294967295) as text_crc32
+            from digits, crc_table),
+        jumps as (
+            select distinct coalesce(doc_id, -1) as id, 0::bigint as spot,
+                (coalesce(doc_id, -1)::hugeint + 18446744073709551616) % 18446744073709551616 as state
+            from documents
+            union all
+            select id, floor((spot + 1)::double * (2147483648::double / (next // 8589934592 + 1)::double))::bigint, next
+            from (select *, (state * 2862933555777941757 + 1) % 18446744073709551616 as next from jumps where spot <= 24) steps),
+        placed as (
+            select id, (max(spot) filter (spot < 24))::integer as shard, (max(spot) filter (spot < 25))::integer as grown_shard
+            from jumps group by id)
+        select doc_id, size, text_crc32, 'key' as law, shard,
+            row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard
+        from sized join placed on coalesce(doc_id, -1) = id
+    """,
 }

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_rows
+from .exact import range_of
 
 #: Fixed values of the published method.
 MULTIPLIER, MODULUS, SHIFT, TOP = 2862933555777941757, 1 << 64, 1 << 33, 1 << 31
@@ -53,23 +54,32 @@ def jump(key: Column, shards: int) -> Column:
     )
 
 
+def _id_ranges(rows: DataFrame, parts: int) -> list[tuple[str, int]]:
+    """Ids that cut the rows into about equal ranges."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] or []
+    return [("", k) for k in sorted(set(cuts))]
+
+
 def shard_rows(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row with its shard and its slot there, by law ``key``.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``. The id
     and the number of shards alone decide the shard; rows without an id go where
     key -1 goes. A null text has size 8. Slots number the rows of a shard from 0
-    without gaps, in an order that the rows alone decide; equal rows get
+    without gaps, in the order of their ids, null ids first; equal rows get
     neighbouring slots. No rows in, no rows out.
 
-    Slots are not counted over a whole shard in one task: a shard is cut by a
-    hash of the id, the parts are counted, and each part is numbered from the
-    sum of the counts before it.
+    Slots are not counted over a whole shard in one task: a shard is cut into
+    ranges of ids, the ranges are counted, and each is numbered from the sum of
+    the counts before it.
     """
     rows = text_rows(docs, id_column, text_column)
-    parts = max(1, -(-rows.count() // (shards * ROWS_PER_TASK)))
+    parts = -(-rows.count() // (shards * ROWS_PER_TASK))
     key = F.coalesce("doc_id", F.lit(-1))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    part = range_of(F.lit(""), F.coalesce("doc_id", F.lit(-(1 << 63))), _id_ranges(rows, parts))
     placed = rows.select("doc_id", "text", jump(key, shards).alias("_to"), part.alias("_part"))
     counts = placed.groupBy("_to.shard", "_part").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
