@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,24 +23,23 @@ def tokens(name):
 
 
 def brute_force(left, right, threshold, use_tfidf):
-    """All pairs, scored one by one."""
-    files = left + right
-    df = Counter(t for name, _ in files for t in set(tokens(name)))
-    idf = {t: math.log(len(files) / n) for t, n in df.items()}
-    found = {}
-    for i, (a, _) in enumerate(left):
-        for j, (b, _) in enumerate(right):
-            if stem_and_ext(a)[1] != stem_and_ext(b)[1]:
-                continue
-            if use_tfidf and idf:
-                v, w = ({t: n * idf[t] for t, n in Counter(tokens(x)).items()} for x in (a, b))
-                norms = math.sqrt(sum(x * x for x in v.values())) * math.sqrt(sum(x * x for x in w.values()))
-                score = sum(x * w.get(t, 0) for t, x in v.items()) / norms if norms else 0.0
-            else:
-                score = SequenceMatcher(None, stem_and_ext(a)[0].lower(), stem_and_ext(b)[0].lower()).ratio()
-            if score >= threshold - 1e-12:
-                found[i, j] = round(score, 9)
-    return found
+    """All scores as one matrix of left by right files, masked by extension."""
+    names = [name for name, _ in left + right]
+    bags = [Counter(tokens(n)) for n in names]
+    vocabulary = sorted(set().union(*bags)) if bags else []
+    if use_tfidf and vocabulary:
+        counts = np.array([[bag[t] for t in vocabulary] for bag in bags], float)
+        weighted = counts * np.log(len(names) / (counts > 0).sum(axis=0))
+        length = np.linalg.norm(weighted, axis=1, keepdims=True)
+        unit = np.divide(weighted, length, out=np.zeros_like(weighted), where=length > 0)
+        scores = unit[: len(left)] @ unit[len(left) :].T
+    else:
+        stems = [stem_and_ext(n)[0].lower() for n in names]
+        scores = np.array([[SequenceMatcher(None, a, b).ratio() for b in stems[len(left) :]] for a in stems[: len(left)]])
+    scores = scores.reshape(len(left), len(right))
+    kind = np.array([stem_and_ext(n)[1] for n in names])
+    kept = (kind[: len(left), None] == kind[len(left) :]) & (scores >= threshold - 1e-12)
+    return {(int(i), int(j)): round(float(scores[i, j]), 9) for i, j in zip(*np.nonzero(kept), strict=True)}
 
 
 def table(spark, files, root):

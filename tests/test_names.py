@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,17 +13,17 @@ def split(name):
     return (name[:i], name[i:]) if 0 < i < len(name) - 1 else (name, "")
 
 
-def capitalized(text, upper_first):
-    out, pending = "", upper_first
-    for c in text:
-        if c in "_-. ":
-            pending = True
-        elif pending and c.isalpha():
-            c, pending = c.upper(), False
-        else:
-            c = c.lower()
-        out += c
-    return out
+def raised(word):
+    """Lower case but for the first letter."""
+    at = next((i for i, c in enumerate(word) if c.isalpha()), len(word))
+    return "".join(c.upper() if i == at else c.lower() for i, c in enumerate(word))
+
+
+def recased(text, upper_first):
+    """Words between separators begin with a capital, the very first one only on demand."""
+    words = re.split(r"([_. -]+)", text)
+    first = words[0] if upper_first else None
+    return "".join([raised(first) if first is not None else "".join(map(str.lower, words[0])), *map(raised, words[1:])])
 
 
 ALPHABET = "aB9.-_ éÉßΣ中ǆ😀(ñ"
@@ -35,7 +36,7 @@ def random_names():
 
 
 def test_split(apply, random_names):
-    fixed = ["document.txt", "my.file.name.pdf", "README", ".gitignore", "foo.", "..foo", "a..b"]
+    fixed = ["plan.ods", "v1.2.tar.gz", "LICENCE", ".profile", "open.", "..up", "x..y"]
     names = fixed + random_names
     got = apply(lambda n: F.array(fn.stem(n), fn.extension(n)), names)
     assert got == [list(split(n)) for n in names]
@@ -52,11 +53,11 @@ def test_null_names(apply):
 
 
 @pytest.mark.parametrize("source, replacement, name, expected", [
-    (" ", "_", "my document.txt", "my_document.txt"),
-    ("-", "_", "one-two-three.txt", "one_two_three.txt"),
-    ("(", "", "file(1).txt", "file1).txt"),
-    (".", "_", "test.file.txt", "test_file.txt"),
-    ("", "_", "a😀b.txt", "_a_😀_b_.txt"),
+    ("+", "-", "sum+total+v2.csv", "sum-total-v2.csv"),
+    ("an", "", "banana.an", "ba.an"),
+    ("[", "<", "list[0].json", "list<0].json"),
+    (".", "", "v1.2.3.tar", "v123.tar"),
+    ("", "~", "x😀.md", "~x~😀~.md"),
 ])
 def test_replace_string(apply, source, replacement, name, expected):
     assert apply(lambda n: fn.replace_string(n, source, replacement), [name]) == [expected]
@@ -64,18 +65,18 @@ def test_replace_string(apply, source, replacement, name, expected):
 
 @pytest.mark.parametrize("upper_first", [False, True])
 def test_camel_case(apply, random_names, upper_first):
-    names = ["my file name.txt", "test-file_name.txt", "my_2FILE", "_foo", "123abc"] + random_names
-    expected = [capitalized(split(n)[0], upper_first) + split(n)[1] for n in names]
+    names = ["q3 sales PLAN.ods", "north-east_ROUTE.gpx", "v_2BETA", "-dash", "7up", "a._-b"] + random_names
+    expected = [recased(split(n)[0], upper_first) + split(n)[1] for n in names]
     assert apply(lambda n: fn.to_camel_case(n, upper_first), names) == expected
 
 
 def test_title_case(apply, random_names):
-    texts = ["don't a1b"] + [n for n in random_names if "Σ" not in n]
+    texts = ["o'clock x9y"] + [n for n in random_names if "Σ" not in n]
     assert apply(fn.title_case, texts) == [t.title() for t in texts]
 
 
 def test_operations_chain(spark):
-    files = spark.createDataFrame([("my document 2025 01 31.txt",), ("file.txt",)], "name string")
+    files = spark.createDataFrame([("minutes 2019 07 04 FINAL.odt",), ("x.odt",)], "name string")
     operations = [
         {"type": "replace_string", "source": " ", "replacement": "_"},
         {"type": "standardize_dates", "format": "%Y-%m-%d"},
@@ -83,7 +84,7 @@ def test_operations_chain(spark):
         {"type": "camel_case"},
     ]
     got = {r["name"]: r["new_name"] for r in clean_names(files, operations).collect()}
-    assert got == {"my document 2025 01 31.txt": "my_Document_2025_01_31.txt", "file.txt": "file.txt"}
+    assert got == {"minutes 2019 07 04 FINAL.odt": "minutes_2019_07_04_Final.odt", "x.odt": "x.odt"}
 
 
 def test_later_operations_see_new_extensions(spark):
