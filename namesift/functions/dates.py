@@ -142,7 +142,10 @@ def _iso_week_year(date: Column) -> Column:
 # from the matched digits, constant as a date has no time of day, short for
 # others, or computed from the date.
 _COPIED = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd"}
-_MIDNIGHT = {"H": "00", "M": "00", "S": "00", "I": "12", "p": "AM", "f": "000000", "z": "", "Z": ""}
+_MIDNIGHT = {
+    "H": "00", "M": "00", "S": "00", "I": "12", "p": "AM", "f": "000000", "z": "", "Z": "",
+    "k": " 0", "l": "12", "P": "am",
+}
 _SHORTHAND = {
     "F": "%Y-%m-%d",
     "D": "%m/%d/%y",
@@ -155,7 +158,24 @@ _SHORTHAND = {
     "t": "\t",
     "%": "%",
 }
+_FLAGS = "-_0^"
+
+
+def _week(first_day):
+    """Weeks of the year so far, for the days since the last first day of a week."""
+
+    def number(date: Column) -> Column:
+        return F.lpad(F.floor((F.dayofyear(date) + 6 - first_day(date)) / 7).cast("string"), 2, "0")
+
+    return number
+
+
 _COMPUTED = {
+    "U": _week(lambda date: F.dayofweek(date) - 1),
+    "W": _week(F.weekday),
+    "C": lambda date: F.substring(F.date_format(date, "yyyy"), 1, 2),
+    "g": lambda date: F.substring(_iso_week_year(date), 3, 2),
+    "s": lambda date: (F.unix_date(date).cast("bigint") * 86_400).cast("string"),
     "b": lambda date: F.date_format(date, "MMM"),
     "h": lambda date: F.date_format(date, "MMM"),
     "B": lambda date: F.date_format(date, "MMMM"),
@@ -171,9 +191,13 @@ _COMPUTED = {
 
 
 def _format_pieces(fmt: str) -> list[tuple[str, str]]:
-    """Split a strftime format into ("text", literal) and ("part", letter)."""
+    """Split a strftime format into ("text", literal) and ("part", letter).
+
+    A flag stands before its letter: ``-`` for no padding, ``_`` for blanks,
+    ``0`` for zeros, ``^`` for capitals. What is no directive stays as it is.
+    """
     pieces: list[tuple[str, str]] = []
-    for letter, literal in re.findall(r"(?s)%(.)|(.)", fmt):
+    for flag, letter, literal in re.findall(rf"(?s)%([{_FLAGS}]?)(.)|(.)", fmt):
         if literal:
             pieces.append(("text", literal))
         elif letter in ("n", "t", "%"):
@@ -181,14 +205,33 @@ def _format_pieces(fmt: str) -> list[tuple[str, str]]:
         elif letter in _SHORTHAND:
             pieces += _format_pieces(_SHORTHAND[letter])
         elif letter in _MIDNIGHT:
-            pieces.append(("text", _MIDNIGHT[letter]))
+            pieces.append(("text", _flagged_text(_MIDNIGHT[letter], flag)))
         elif letter in _COPIED or letter in _COMPUTED:
-            pieces.append(("part", letter))
+            pieces.append(("part", flag + letter))
         else:
-            raise ValueError(f"unsupported date directive %{letter} in {fmt!r}")
+            pieces.append(("text", f"%{flag}{letter}"))
     return pieces
 
 
+def _flagged_text(text: str, flag: str) -> str:
+    bare = text.lstrip("0 ") or text[-1:]
+    if flag == "^":
+        return text.upper()
+    return text if not flag or not bare.isdigit() else bare if flag == "-" else bare.rjust(len(text), " " if flag == "_" else "0")
+
+
+def _flagged(value: Column, flag: str) -> Column:
+    if flag == "^":
+        return F.upper(value)
+    if not flag:
+        return value
+    bare = F.regexp_replace(value, r"^[0 ]+(?=[0-9])", "")
+    if flag == "-":
+        return bare
+    padded = F.lpad(bare, F.length(value), F.lit(" " if flag == "_" else "0"))
+    return F.when(F.rlike(value, F.lit("^[0-9 ]+$")), padded).otherwise(value)
+
+
 def _century(holds: dict[str, str]) -> str:
     # Two-digit years always belong to this century.
     return holds.get("century", r"\2\0")
@@ -219,9 +262,9 @@ def _format_date(date: Column, pieces) -> Column:
     def piece(kind: str, value: str) -> Column:
         if kind == "text":
             return F.lit(value)
-        if value in _COPIED:
-            return F.date_format(date, _COPIED[value])
-        return _COMPUTED[value](date)
+        flag, letter = value[:-1], value[-1]
+        plain = F.date_format(date, _COPIED[letter]) if letter in _COPIED else _COMPUTED[letter](date)
+        return _flagged(plain, flag)
 
     return F.concat(*[piece(kind, value) for kind, value in pieces])
 

@@ -92,7 +92,7 @@ def confidence(name_sim: Column, size_sim: Column, mode: str = "weighted") -> Co
 
 
 def match_reasons(name_sim: Column, size_sim: Column) -> Column:
-    """One phrase on the names and one on the sizes."""
+    """One phrase on the names and one on the sizes. The phrases are fixed values."""
     on_name = (
         F.when(name_sim >= NAME_EXACT, "Name exact match")
         .when(name_sim >= NAME_VERY_SIMILAR, "Name very similar")
@@ -108,17 +108,48 @@ def match_reasons(name_sim: Column, size_sim: Column) -> Column:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _one_decimal(number: Column) -> Column:
+    """A number with one decimal, rounded half to even on its exact binary value.
+
+    Ten times the number is a sum of two exact products; the rounding error of
+    that sum is exact as well, and its sign decides where the sum alone is a tie.
+    """
+
+    def written(value: Column) -> Column:
+        eight, two = F.abs(value) * 8.0, F.abs(value) * 2.0
+        tenfold = eight + two
+        rest = tenfold - eight
+        error = (eight - (tenfold - rest)) + (two - rest)
+        parts = F.struct(F.floor(tenfold).alias("whole"), (tenfold - F.floor(tenfold)).alias("part"), error.alias("error"))
+
+        def tenths(p: Column) -> Column:
+            odd = p["whole"] % 2 == 1
+            up = (p["part"] > 0.5) | ((p["part"] == 0.5) & ((p["error"] > 0) | ((p["error"] == 0) & odd)))
+            return p["whole"] + F.when(up, 1).otherwise(0)
+
+        digits = _bound(_bound(parts, tenths), lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string")))
+        # From 2^50 on a double has no second decimal.
+        return F.when(F.abs(value) < float(1 << 49), F.concat(F.when(value < 0, "-").otherwise(""), digits)).otherwise(
+            F.format_string("%.1f", value)
+        )
+
+    return _bound(number, written)
+
+
 def format_size(size: Column) -> Column:
     """Size in the largest unit that keeps the number below 1024."""
-    out = None
-    for power, unit in reversed(list(enumerate(SIZE_UNITS))):
-        value = size.cast("double") / float(1024**power)
-        # Half-even rounding first: the formatter alone would round half up.
-        text = F.format_string(f"%.1f {unit}", F.bround(value, 1))
-        out = text if out is None else F.when(value < 1024, text).otherwise(out)
-    return F.when(size.isNotNull(), out)
+    divisor, unit = F.lit(float(1024 ** (len(SIZE_UNITS) - 1))), F.lit(SIZE_UNITS[-1])
+    for power, name in reversed(list(enumerate(SIZE_UNITS[:-1]))):
+        fits = size < 1024 ** (power + 1)
+        divisor, unit = F.when(fits, float(1024**power)).otherwise(divisor), F.when(fits, name).otherwise(unit)
+    return F.when(size.isNotNull(), F.concat(_one_decimal(size.cast("double") / divisor), F.lit(" "), unit))
 
 
 def format_percent(share: Column) -> Column:
     """Share as a percentage with one decimal."""
-    return F.when(share.isNotNull(), F.format_string("%.1f%%", F.bround(share * 100, 1)))
+    return F.when(share.isNotNull(), F.concat(_one_decimal(share * 100), F.lit("%")))

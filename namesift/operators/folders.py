@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FOLDER_LIMIT = 20
+def child_folders(files: DataFrame, root: str, limit: int | None = None) -> DataFrame:
+    """Folders right below ``root`` by name, and how many more there are than ``limit`` lets through.
 
-
-def child_folders(files: DataFrame, root: str, limit: int = FOLDER_LIMIT) -> DataFrame:
-    """First folders right below ``root`` by name, and how many more there are.
-
-    An inventory lists files, so folders without any do not show.
+    Without ``limit`` all are listed and none is left over. An inventory lists files, so folders without any do not show.
     """
     prefix = root.rstrip("/") + "/" if root else ""
     below = files.filter(F.startswith("path", F.lit(prefix))).select(
@@ -22,6 +19,8 @@ def child_folders(files: DataFrame, root: str, limit: int = FOLDER_LIMIT) -> Dat
         .select(F.substring_index("rest", "/", 1).alias("folder"))
         .distinct()
     )
+    if limit is None:
+        return folders.orderBy("folder").withColumn("more_folders", F.lit(0).cast("bigint"))
     more = F.greatest(folders.agg(F.count("*")).scalar() - limit, F.lit(0))
     return folders.orderBy("folder").limit(limit).withColumn("more_folders", more)
 

@@ -28,10 +28,28 @@ def _with_parent(changes: DataFrame) -> DataFrame:
     return changes.select(parent.alias("parent"), "original", "new_name")
 
 
-def _existing(wanted: DataFrame, inventory: DataFrame, column: str, into: str) -> DataFrame:
-    """Flag whether ``column`` names a file of the same folder."""
-    files = inventory.select("parent", F.col("name").alias(column)).distinct().withColumn(into, F.lit(True))
-    return wanted.join(files, ["parent", column], "left").withColumn(into, F.coalesce(into, F.lit(False)))
+def _names(wanted: DataFrame, inventory: DataFrame) -> DataFrame:
+    """What each name in a folder is: a file, a wanted target, a source.
+
+    One aggregate over the inventory and both ends of all changes, so that the
+    inventory is shuffled once, summed up before.
+    """
+    no, yes = F.lit(False), F.lit(True)
+    nobody = F.lit(None).cast("string").alias("claimant")
+    roles = (
+        inventory.select(_folder("parent"), "name", yes.alias("exists"), nobody, no.alias("source"))
+        .unionAll(wanted.select("_folder", "new_name", no, "original", no))
+        .unionAll(wanted.select("_folder", "original", no, nobody, yes))
+    )
+    return roles.groupBy("_folder", "name").agg(
+        F.max("exists").alias("exists"), F.min("claimant").alias("first"),
+        F.count("claimant").alias("claims"), F.max("source").alias("source"),
+    ).filter((F.col("claims") > 0) | F.col("source"))
+
+
+def _folder(column: str):
+    # No path holds NUL, so a missing folder gets a key of its own.
+    return F.coalesce(column, F.lit("\0")).alias("_folder")
 
 
 def rename_plan(changes: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -39,17 +57,15 @@ def rename_plan(changes: DataFrame, inventory: DataFrame) -> DataFrame:
 
     All changes are judged against the same snapshot, the inventory. If several
     want one new name in a folder, the first by original name gets it. ``ok``,
-    ``case_only`` and ``case_only_overwrites`` would be carried out.
+    ``case_only`` and ``case_only_overwrites`` would be carried out. Files and
+    changes without a folder form one of their own.
     """
-    wanted = stored(_with_parent(changes))
-    # Aggregating before joining keeps a name that a large share of the files
-    # want from gathering in one task.
-    claims = stored(
-        wanted.groupBy("parent", "new_name").agg(F.min("original").alias("first"), F.count("*").alias("claims"))
-    )
-    targets = _existing(claims, inventory, "new_name", "taken")
-    judged = split_lookup(wanted, targets, ["parent", "new_name"], claims, "claims", ["original"])
-    judged = _existing(judged, inventory, "original", "present")
+    wanted = stored(_with_parent(changes).select("*", _folder("parent")))
+    names = stored(_names(wanted, inventory))
+    targets = names.filter("claims > 0").select("_folder", F.col("name").alias("new_name"), F.col("exists").alias("taken"), "first", "claims")
+    sources = names.filter("source").select("_folder", F.col("name").alias("original"), F.col("exists").alias("present"))
+    judged = split_lookup(wanted, targets.drop("claims"), ["_folder", "new_name"], targets, "claims", ["original"])
+    judged = judged.join(sources, ["_folder", "original"])
 
     original, new = F.col("original"), F.col("new_name")
     case_only = (F.lower(original) == F.lower(new)) & (original != new)
@@ -64,6 +80,7 @@ def rename_plan(changes: DataFrame, inventory: DataFrame) -> DataFrame:
         .when(original != F.col("first"), "duplicate_target")
         .otherwise("ok")
     )
+    # The texts of messages are fixed values.
     failed = F.concat(F.lit("Error renaming '"), original, F.lit("': "))
     message = (
         F.when(

@@ -6,6 +6,8 @@ are joined in full, and nothing is pruned.
 
 from __future__ import annotations
 
+import re
+
 from .inventories import inventory_sql
 
 CHECKS: dict[str, str] = {}
@@ -95,13 +97,13 @@ CHECKS["regex_case_upper"] = over(
     "inv_orders", new_name=on_stem("name", each_match("{s}", "[a-z]+", "upper(m)"))
 )
 CHECKS["regex_case_lower"] = over(
-    "inv_parts_b",
+    "inv_parts",
     new_name=on_stem("name", each_match(
         "{s}", r"[A-Z]+_\w", "concat(right(m, 1), '+', lower(left(m, length(m) - 2)), '_\\9')"
     )),
 )
 CHECKS["regex_case_title"] = over(
-    "inv_parts_b", new_name=on_stem("name", each_match("{s}", r"[\w ]+", titled("m")))
+    "inv_parts", new_name=on_stem("name", each_match("{s}", r"[\w ]+", titled("m")))
 )
 CHECKS["regex_whole_name"] = over("inv_orders", new_name=r"regexp_replace(name, '\.(\w+)$', '_\1.bak')")
 CHECKS["regex_anchors"] = over("inv_docs", new_name="concat('new_', name)")
@@ -140,9 +142,12 @@ def written(match: str, layouts: list[tuple[str, str]], fmt: str) -> str:
             "%m": f"lpad(cast(month({date}) as varchar), 2, '0')",
             "%d": f"lpad(cast(day({date}) as varchar), 2, '0')",
             "%b": f"{MONTHS}[month({date})]",
+            "%U": f"strftime({date}, '%U')",
+            "%W": f"strftime({date}, '%W')",
+            "%-d": f"cast(day({date}) as varchar)",
+            "%-m": f"cast(month({date}) as varchar)",
         }
-        pieces = [f"{parts[fmt[i:i + 2]]}" if fmt[i] == "%" else f"'{fmt[i]}'"
-                  for i in range(len(fmt)) if i == 0 or fmt[i - 1] != "%"]
+        pieces = [parts.get(piece, f"'{piece}'") for piece in re.findall("%-?.|.", fmt)]
         cases += f" when {condition} and {date} is not null and year({date}) >= 1 then concat({', '.join(pieces)})"
     return f"case{cases} else {match} end"
 
@@ -200,6 +205,10 @@ CHECKS["dates_flip_quirk"] = dated(
 CHECKS["dates_named_month"] = dated(
     inventory_sql("inv_orders"), f"file_id, concat(v, {ext('name')}) as new_name", "all", "%d %b %Y"
 )
+for _key, _format in (("week_numbers", "%Y week %U or %W"), ("without_padding", "%-d.%-m.%Y")):
+    CHECKS[f"dates_{_key}"] = dated(
+        inventory_sql("inv_orders"), f"file_id, concat(v, {ext('name')}) as new_name", "all", _format
+    )
 CHECKS["dates_text"] = steps("documents", "doc_id, v as text", "text", date_steps("all"))
 
 # Cleaning and previews
@@ -289,6 +298,9 @@ CHECKS["scan_names"] = parts(
     "inv_pages_by_language", "/web/en", "path like '/web/en/%' and path not like '/web/en/%/%'"
 )
 CHECKS["child_folders"] = f"""
+select distinct split_part(path, '/', 3) as folder, 0 as more_folders
+from {inventory_sql('inv_pages')} f where path like '/web/%/%'"""
+CHECKS["child_folders_first"] = f"""
 with folders as (
   select distinct split_part(path, '/', 3) as folder from {inventory_sql('inv_pages')} f where path like '/web/%/%')
 select folder, greatest((select count(*) from folders) - 20, 0) as more_folders
@@ -358,7 +370,11 @@ CHECKS["format_size"] = f"""
 select o_orderkey, {readable('s')} as size
 from (select o_orderkey, cast(floor(o_totalprice) * power(32, o_orderkey % 8) as bigint) as s from orders) t"""
 CHECKS["format_percent"] = """
-select l_orderkey, l_linenumber, printf('%.1f%%', (l_orderkey % 1024) / 1024.0::double * 100) as percent from lineitem"""
+select l_orderkey, l_linenumber, printf('%.1f%%', (l_orderkey % 1024) / 1024.0::double * 100) as percent,
+  printf('%.1f%%', (l_partkey % 2001) / 2000.0::double * 100) as of_thousands,
+  printf('%.1f%%', (l_orderkey % 10001) / 10000.0::double * 100) as of_ten_thousands,
+  printf('%.1f%%', l_linenumber / (l_linenumber + l_quantity) * 100) as ratio
+from lineitem"""
 
 
 def matches(left: str, right: str, threshold: float, by_name: bool = False, all_pairs: bool = False, digits: int = 6) -> str:
@@ -390,7 +406,7 @@ from scored where sim >= {threshold}::double - 1e-12"""
 CHECKS["find_duplicates_tfidf"] = matches(LEFT, RIGHT, 0.7)
 CHECKS["find_duplicates_tfidf_strict"] = matches(LEFT, RIGHT, 0.9)
 CHECKS["find_duplicates_name_confidence"] = matches(LEFT, RIGHT, 0.7, by_name=True)
-CHECKS["find_duplicates_self"] = matches(LEFT, LEFT, 0.95)
+CHECKS["find_duplicates_self"] = matches(inventory_sql("inv_parts"), inventory_sql("inv_parts"), 0.95)
 CHECKS["find_duplicates_zero_threshold"] = matches(
     inventory_sql("inv_open"), inventory_sql("inv_closed"), 0.0, all_pairs=True
 )

@@ -52,6 +52,14 @@ select file_id, name, concat('/b/', relative_path) as path, relative_path, size
       concat(upper(p_name), '_', p_type, '-', p_brand, case when p_partkey % 3 = 0 then '.pdf' else '.txt' end) as name,
       cast(p_size * 1000 as bigint) as size
     from {part} where p_partkey % 2 = 0) names) files""",
+    # Both sides' parts together.
+    "inv_parts": """
+select file_id, name, concat('/p/', relative_path) as path, relative_path, size from (
+  select file_id, name, concat(cast(file_id as varchar(20)), '/', name) as relative_path, size from (
+    select p_partkey as file_id,
+      concat(upper(p_name), '_', p_type, '-', p_brand, case when p_partkey % 3 = 0 then '.pdf' else '.txt' end) as name,
+      cast(p_size * 1000 as bigint) as size
+    from {part}) names) files""",
     # Two sides whose files share an extension only within a customer.
     "inv_open": """
 select file_id, name, concat('/open/', name) as path, name as relative_path, size from (
@@ -64,7 +72,7 @@ select file_id, name, concat('/closed/', name) as path, name as relative_path, s
   select o_orderkey as file_id,
     concat('closed ', lower(o_orderpriority), '_', cast(o_orderkey as varchar(20)), '.C', cast(o_custkey as varchar(20))) as name,
     cast(floor(o_totalprice) as bigint) as size
-  from {orders} where o_orderstatus = 'F') files""",
+  from {orders} where o_orderstatus <> 'O') files""",
     # Nested paths: by host, and by language.
     "inv_pages": f"""
 select page_id as file_id, concat('/web/', {_PAGE_PATH}) as path,
@@ -80,7 +88,7 @@ from {{pages}}""",
     # Names in four languages.
     "inv_docs": """
 select doc_id as file_id,
-  concat(source, '.', lang, ' ', replace(substr(text, 1, 24), '/', ' '),
+  concat(source, '.', lang, ' ', replace(text, '/', ' '),
     case doc_id % 3 when 0 then '.Docx' when 1 then '.' else '' end) as name,
   n_chars as size
 from {documents}""",

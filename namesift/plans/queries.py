@@ -77,8 +77,8 @@ _named(
     new_name=lambda n: fn.regex_replace(n, r"(?P<a>\d{2})[ .-](\d{2})[ .-](\d{2})", r"\g<3>0\2-\g<a>"),
 )
 _named("regex_case_upper", "inv_orders", new_name=lambda n: fn.regex_replace(n, r"([a-z]+)", r"\U\1"))
-_named("regex_case_lower", "inv_parts_b", new_name=lambda n: fn.regex_replace(n, r"([A-Z]+)_(\w)", r"\2+\L\1_\9"))
-_named("regex_case_title", "inv_parts_b", new_name=lambda n: fn.regex_replace(n, r"([\w ]+)", r"\T\1"))
+_named("regex_case_lower", "inv_parts", new_name=lambda n: fn.regex_replace(n, r"([A-Z]+)_(\w)", r"\2+\L\1_\9"))
+_named("regex_case_title", "inv_parts", new_name=lambda n: fn.regex_replace(n, r"([\w ]+)", r"\T\1"))
 _named(
     "regex_whole_name", "inv_orders",
     new_name=lambda n: fn.regex_replace(n, r"\.(\w+)$", r"_\1.bak", preserve_extension=False),
@@ -107,6 +107,10 @@ _dates("dates_flip_quirk", dates.ALL_PASSES, "%d-%m-%Y")
 _dates("dates_named_month", dates.ALL_PASSES, "%d %b %Y")
 
 
+_dates("dates_week_numbers", dates.ALL_PASSES, "%Y week %U or %W")
+_dates("dates_without_padding", dates.ALL_PASSES, "%-d.%-m.%Y")
+
+
 @query
 def dates_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -192,6 +196,12 @@ def child_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.child_folders(inventory(spark, sf_dir, "inv_pages"), "/web")
 
 
+@query
+def child_folders_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a list of limited length shows, and how many folders it leaves over."""
+    return folders.child_folders(inventory(spark, sf_dir, "inv_pages"), "/web", limit=20)
+
+
 @query
 def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.inventory_counts(*_sides(spark, sf_dir))
@@ -299,8 +309,13 @@ def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def format_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    share = F.expr("(l_orderkey % 1024) / 1024.0d")
-    return lineitem.select("l_orderkey", "l_linenumber", fn.format_percent(share).alias("percent"))
+    shares = {
+        "percent": "(l_orderkey % 1024) / 1024.0d",
+        "of_thousands": "(l_partkey % 2001) / 2000.0d",
+        "of_ten_thousands": "(l_orderkey % 10001) / 10000.0d",
+        "ratio": "l_linenumber / (l_linenumber + l_quantity)",
+    }
+    return lineitem.select("l_orderkey", "l_linenumber", *[fn.format_percent(F.expr(s)).alias(c) for c, s in shares.items()])
 
 
 def _rounded(matches: DataFrame) -> DataFrame:
@@ -325,8 +340,8 @@ def find_duplicates_name_confidence(spark: SparkSession, sf_dir: str) -> DataFra
 
 @query
 def find_duplicates_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, _ = _sides(spark, sf_dir)
-    return _rounded(match.find_duplicates(left, left, name_threshold=0.95))
+    files = inventory(spark, sf_dir, "inv_parts")
+    return _rounded(match.find_duplicates(files, files, name_threshold=0.95))
 
 
 @query

@@ -5,7 +5,6 @@ from datetime import datetime
 import pytest
 
 from namesift import functions as fn
-from namesift.functions import dates
 
 try:
     from dateutil import parser as date_parser
@@ -68,9 +67,17 @@ def test_several_dates(apply):
     assert got == ["from 2001-09-08 to 2002-03-17.tar", "v3 1990-06-30 (was 1990-06-29) 1990-07-01.pdf"]
 
 
-def test_unknown_directive():
-    with pytest.raises(ValueError):
-        dates._format_pieces("%Q")
+def test_every_directive(apply):
+    days = [datetime(y, m, d) for y, m, d in [(2024, 1, 1), (2024, 12, 30), (2021, 1, 3), (2023, 1, 1), (2020, 2, 29), (2017, 7, 9), (1999, 10, 10)]]
+    letters = "aAbBcCdDeFgGhHIjklmMnpPrRStTuUVwWxXyY%"
+    for fmt in [f"%{x}" for x in letters if x != "r"] + ["%-d.%-m.%-y", "%_d|%_j|%_H", "%0e %-j %-H %^a %^B %-e"]:
+        got = apply(lambda t: fn.standardize_dates(t, fmt, scope="text"), [f"<{d:%Y-%m-%d}>" for d in days])
+        assert got == [f"<{d.strftime(fmt)}>" for d in days], fmt
+
+
+def test_unknown_directives_stay(apply):
+    assert apply(lambda t: fn.standardize_dates(t, "%Q%Y%", scope="text"), ["2011-05-06"]) == ["%Q2011%"]
+    assert apply(lambda t: fn.standardize_dates(t, "%s", scope="text"), ["1970-01-02"]) == ["86400"]
 
 
 # The readings of each layout: the first whose condition holds, tried in its orders.

@@ -128,7 +128,8 @@ def test_plan_is_written(spark, tmp_path):
 
 def test_child_folders(spark):
     files = inventory(spark, [f"/r/f{i:02}/x" for i in range(25)] + ["/r/top", "/q/z/x"])
-    rows = folders.child_folders(files, "/r").collect()
+    assert [tuple(r) for r in folders.child_folders(files, "/r").collect()] == [(f"f{i:02}", 0) for i in range(25)]
+    rows = folders.child_folders(files, "/r", limit=20).collect()
     assert [r["folder"] for r in rows] == [f"f{i:02}" for i in range(20)]
     assert {r["more_folders"] for r in rows} == {5}
     assert folders.child_folders(files, "/r/f01").count() == 0
