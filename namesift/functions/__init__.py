@@ -1,7 +1,7 @@
 """Column functions: each takes and returns Columns."""
 
 from .dates import SHAPES, rewrite_dates, standardize_dates
-from .names import base_name, extension, replace_string, stem, title_case, to_camel_case
+from .names import base_name, canonical_path, extension, replace_string, stem, title_case, to_camel_case
 from .regex import regex_replace, validate_regex
 from .scores import (
     confidence,
@@ -18,6 +18,7 @@ from .tokens import term_counts, tokenize
 __all__ = [
     "SHAPES",
     "base_name",
+    "canonical_path",
     "confidence",
     "extension",
     "format_percent",

@@ -27,6 +27,25 @@ def base_name(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), last).otherwise(path)
 
 
+def canonical_path(path: Column) -> Column:
+    """A path without empty and ``.`` components, and with ``..`` taken back, as far as the text alone tells."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    absolute = F.startswith(path, F.lit("/"))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = (F.size(kept) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), kept), -1) != "..")
+        return (
+            F.when(part != "..", F.concat(kept, F.array(part)))
+            .when(up, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(absolute, kept)
+            .otherwise(F.concat(kept, F.array(part)))
+        )
+
+    kept = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.when(absolute, F.concat(F.lit("/"), kept)).when((kept == "") & (path != ""), F.lit(".")).otherwise(kept)
+
+
 def _extension_of(base: Column) -> Column:
     # The tail after the last dot makes an extension only if something
     # precedes the dot and something follows it.

@@ -4,9 +4,9 @@ A key that holds a large share of the rows would land in one task. The helpers
 here count rows per key first and split the hot keys over several tasks. Without
 a hot key the join is a plain one. No row is dropped.
 
-A key is hot if it holds at least 1/HOT_SHARE of all rows, so there are never
-more than HOT_SHARE hot keys per side. That bound does not grow with the data,
-which is why the list of hot keys may pass through the driver and be broadcast.
+How far a key is cut depends on its rows, or on the pairs it makes, alone and
+not on its share of the table: a task gets no more with more data. The list of
+hot keys is a stored table that is joined like any other.
 """
 
 from __future__ import annotations
@@ -14,24 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1024
+from .stored import stored
 
+#: Rows of a key that one task looks up, and rows of each side that meet in one task.
+ROWS_PER_SHARE, ROWS_PER_SIDE = 100_000, 2_000
 
-def hot_keys(
-    counts: DataFrame, keys: list[str], count: str, min_rows: int, splits: str = "_splits"
-) -> DataFrame | None:
-    """Hot keys and the number of shares to cut each into; None without any.
+
+def hot_keys(counts: DataFrame, keys: list[str], count: str, min_rows: int, splits: str = "_splits") -> DataFrame | None:
+    """Keys with more than ``min_rows`` rows and the number of shares to cut each into; None without any.
 
     ``counts`` has one row per key. Runs a job, so ``counts`` should come from
     a table.
     """
-    total = counts.agg(F.sum(count)).scalar()
-    rows_per_split = F.greatest(total / F.lit(float(HOT_SHARE)), F.lit(float(min_rows)))
-    hot = counts.select(
-        *keys, F.ceil(F.col(count) / rows_per_split).cast("int").alias(splits)
-    ).filter(F.col(splits) > 1)
-    rows = hot.collect()
-    return F.broadcast(counts.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
+    hot = stored(
+        counts.select(*keys, F.ceil(F.col(count) / float(min_rows)).cast("int").alias(splits)).filter(F.col(splits) > 1)
+    )
+    return None if hot.isEmpty() else hot
 
 
 def _row_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,7 +53,7 @@ def split_lookup(
     counts: DataFrame,
     count: str,
     spread_by: list[str],
-    min_rows: int = 100_000,
+    min_rows: int = ROWS_PER_SHARE,
 ) -> DataFrame:
     """Inner join of ``rows`` to ``other`` where ``rows`` may have hot keys.
 
@@ -77,7 +75,7 @@ def split_join(
     keys: list[str],
     left_spread: list[str],
     right_spread: list[str],
-    min_rows: int = 2_000,
+    min_rows: int = ROWS_PER_SIDE,
 ) -> DataFrame:
     """Inner join in which both sides may have hot keys.
 
@@ -85,23 +83,22 @@ def split_join(
     share of one meets every share of the other in a task of its own. Columns
     other than the keys must differ between the sides.
     """
-    hot_left = hot_keys(_row_counts(left, keys), keys, "_rows", min_rows, "_ls")
-    hot_right = hot_keys(_row_counts(right, keys), keys, "_rows", min_rows, "_rs")
-
-    def cut(rows: DataFrame, own, own_splits, own_share, spread, far, far_splits, far_share):
-        if own is not None:
-            rows = rows.join(own, keys, "left").withColumn(own_share, _share(spread, own_splits)).drop(own_splits)
-        if far is not None:
-            rows = rows.join(far, keys, "left").withColumn(far_share, _every_share(far_splits)).drop(far_splits)
-        return rows
-
-    cut_left = cut(left, hot_left, "_ls", "_lshare", left_spread, hot_right, "_rs", "_rshare")
-    cut_right = cut(right, hot_right, "_rs", "_rshare", right_spread, hot_left, "_ls", "_lshare")
-    shares = ["_lshare"] * (hot_left is not None) + ["_rshare"] * (hot_right is not None)
+    cell = float(min_rows) ** 2
+    l, r = (_row_counts(side, keys).withColumnRenamed("_rows", c) for side, c in ((left, "_l"), (right, "_r")))
+    shares = [
+        F.ceil(F.col(own) * F.least(F.col(far), F.lit(min_rows)) / cell).cast("int").alias(name)
+        for own, far, name in (("_l", "_r", "_ls"), ("_r", "_l", "_rs"))
+    ]
+    hot = stored(l.join(r, keys).select(*keys, *shares).filter("_ls > 1 or _rs > 1"))
+    if not hot.isEmpty():
+        left = left.join(hot, keys, "left").withColumn("_lshare", _share(left_spread, "_ls"))
+        left = left.withColumn("_rshare", _every_share("_rs")).drop("_ls", "_rs")
+        right = right.join(hot, keys, "left").withColumn("_rshare", _share(right_spread, "_rs"))
+        right = right.withColumn("_lshare", _every_share("_ls")).drop("_ls", "_rs")
+        keys = [*keys, "_lshare", "_rshare"]
     # The work grows with the pairs, not with the rows. Spreading the rows by key
     # keeps few bytes with many pairs from being packed into one task.
-    spread_left = spread_rows(cut_left, [*keys, *shares])
-    return spread_left.join(cut_right, [*keys, *shares]).drop(*shares)
+    return spread_rows(left, keys).join(right, keys).drop("_lshare", "_rshare")
 
 
 def spread_rows(rows: DataFrame, by: list[str]) -> DataFrame:

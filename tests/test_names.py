@@ -46,6 +46,11 @@ def test_split_drops_folders(apply):
     assert apply(lambda n: F.array(fn.stem(n), fn.extension(n)), ["a/b.c", "a.x/b/"]) == [["b", ".c"], ["b", ""]]
 
 
+def test_canonical_paths(apply):
+    paths = ["/a//b/./c", "/a/b/../c/", "a/../../b", "/..", "x", "./", "", "/", None]
+    assert apply(fn.canonical_path, paths) == ["/a/b/c", "/a/c", "../b", "/", "x", ".", "", "/", None]
+
+
 def test_null_names(apply):
     for f in (fn.stem, fn.extension, fn.replace_string, fn.to_camel_case, fn.standardize_dates, fn.tokenize,
               lambda n: fn.regex_replace(n, "a", "b"), lambda n: fn.regex_replace(n, "(a)", r"\U\1")):
