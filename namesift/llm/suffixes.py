@@ -9,7 +9,7 @@ text, and the pieces of an anchor go to one bucket. Equal pieces are one, with
 its smallest document. A bucket's pieces, one after another, are a string whose
 suffix array (:mod:`gsaca`) puts equal stretches side by side.
 
-A bucket with more than ``BUCKET`` different pieces is cut in two by how far
+A bucket with more than ``BUCKET`` different pieces is cut in four by how far
 from the anchor its stretches begin, and each part by the longer substring its
 stretches have in common, as often as needed; at the last level a bucket is a
 single stretch. So no bucket is large and no occurrence is left out.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ from .gsaca import suffix_arrays
 LENGTH, GRAM = 50, 20
 #: Offsets that an anchor can have in a stretch.
 OFFSETS = LENGTH - GRAM + 1
-#: Different pieces that one suffix array takes.
-BUCKET = 64
+#: Different pieces that one suffix array takes, and up to which its string is short.
+BUCKET, FEW = 16, 3
 #: Bytes of pieces worked on at a time.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -128,8 +129,8 @@ def _least_documents(data: np.ndarray, bounds: np.ndarray, group: np.ndarray, lo
     widths = sizes + 1 + last
     ends = np.cumsum(widths)
     starts = ends - widths
-    codes = np.zeros(int(ends[-1]), np.int64)
-    codes[np.repeat(starts - bounds[:-1], sizes) + np.arange(len(data))] = data.astype(np.int64) + 2
+    codes = np.zeros(int(ends[-1]), np.int16)
+    codes[np.repeat(starts - bounds[:-1], sizes) + np.arange(len(data))] = data.astype(np.int16) + 2
     codes[starts + sizes] = 1
     first_of_group = np.append(True, group[1:] != group[:-1])
     order = suffix_arrays(codes, np.append(starts[first_of_group], ends[-1]))
@@ -137,9 +138,10 @@ def _least_documents(data: np.ndarray, bounds: np.ndarray, group: np.ndarray, lo
     whole = np.arange(len(codes)) + LENGTH <= (starts + sizes)[piece]
     order = order[whole[order]]
     same = group[piece[order[1:]]] == group[piece[order[:-1]]]
-    for i in range(LENGTH):
-        at = np.flatnonzero(same)
-        same[at] = codes[order[1:][at] + i] == codes[order[:-1][at] + i]
+    stretches = np.lib.stride_tricks.sliding_window_view(codes, LENGTH) if len(codes) >= LENGTH else codes[:, None]
+    at = np.flatnonzero(same)
+    for part in np.array_split(at, 1 + len(at) // 20_000):
+        same[part] = (stretches[order[1:][part]] == stretches[order[:-1][part]]).all(axis=1)
     run = np.concatenate(([0], np.cumsum(~same)))
     least = np.minimum.reduceat(lows[piece[order]], np.flatnonzero(np.append(True, ~same)))[run]
     back = np.argsort(order)
@@ -150,13 +152,16 @@ def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each different piece, the ranges of its stretches that an earlier document holds."""
     for part in whole_groups(batches, "key", BATCH_BYTES, "piece"):
         data, bounds = bytes_of(part.column("piece"))
-        key, lows, highs = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high"))
+        key, lows, highs = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "first", "last"))
         group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-        many = np.bincount(group)[group] > 1
+        count = np.bincount(group)[group]
+        alone = count == 1
         # A piece without others has no suffixes to compare: all its stretches are in its documents.
-        piece, begin, end, least = [np.flatnonzero(~many)], [np.zeros(int((~many).sum()), np.int64)], [np.diff(bounds)[~many] - LENGTH + 1], [lows[~many]]
-        if many.any():
-            chosen = np.flatnonzero(many)
+        piece, begin, end, least = [np.flatnonzero(alone)], [np.zeros(int(alone.sum()), np.int64)], [np.diff(bounds)[alone] - LENGTH + 1], [lows[alone]]
+        # Strings of similar length take their turns together.
+        for chosen in (np.flatnonzero((count > 1) & (count <= FEW)), np.flatnonzero(count > FEW)):
+            if not chosen.size:
+                continue
             sizes = np.diff(bounds)[chosen]
             inner = np.concatenate(([0], np.cumsum(sizes)))
             some = data[np.repeat(bounds[chosen] - inner[:-1], sizes) + np.arange(inner[-1])]
@@ -175,43 +180,48 @@ def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("key").take(at), part.column("digest").take(at), pa.array(begin), pa.array(end), pa.array(least)], ["key", "digest", "begin", "end", "least"])
 
 
-def _halved(occurrences: DataFrame, low: int, middle: int, high: int, upper: bool) -> DataFrame:
-    """The stretches whose anchor is at least (or less than) ``middle`` bytes in, with keys of their longer common part."""
-    stretches = F.octet_length("piece") - (LENGTH - 1)
-    if upper:
-        begin, count = F.lit(0), F.least(stretches, F.col("reach") - (middle - 1))
-        nearest, farthest = middle, high - 1
-    else:
-        begin = F.greatest(F.lit(0), F.col("reach") - (middle - 1))
-        count, nearest, farthest = stretches - begin, low, middle - 1
-    cut = occurrences.select("*", begin.cast("int").alias("_begin"), count.cast("int").alias("_count")).filter("_count > 0")
-    common = F.expr(f"substring(piece, reach - {nearest} + 1, {LENGTH - farthest + nearest})")
-    return cut.select(
-        F.xxhash64("key", F.lit(nearest), F.lit(farthest), common).alias("key"), "doc", "class", (F.col("start") + F.col("_begin")).alias("start"),
-        (F.col("reach") - F.col("_begin")).alias("reach"), F.expr(f"substring(piece, _begin + 1, _count + {LENGTH - 1})").alias("piece"),
-    )
+def _quartered(occurrences: DataFrame) -> DataFrame:
+    """The stretches in four parts, by how far before the anchor they begin, with keys of their longer common part.
 
-
-def repeated_stretches(occurrences: DataFrame, low: int = 0, high: int = OFFSETS) -> DataFrame:
-    """``doc, class, begin, end``: bytes of a document in stretches that an earlier one holds."""
-    digest = F.xxhash64("piece")
-    different = stored(occurrences.groupBy("key", "piece").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    large = different.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BUCKET).select("key")
-    large = stored(large) if high - low > 1 else large.limit(0)
-    is_large = high - low > 1 and not large.isEmpty()
-    small = different.join(large, "key", "left_anti") if is_large else different
-    grouped = small.select("key", digest.alias("digest"), "piece", "low", "high").repartition("key").sortWithinPartitions("key")
-    earlier = stored(grouped.mapInArrow(_solve, "key long, digest long, begin long, end long, least long"))
-    found = occurrences.select("key", "doc", "class", "start", digest.alias("digest")).join(earlier, ["key", "digest"]).filter("least < doc").select(
-        "doc", "class", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end") + (LENGTH - 1)).alias("end")
-    )
-    if not is_large:
-        return found
-    rest = occurrences.join(large, "key", "left_semi")
-    middle = (low + high) // 2
-    for upper, (a, b) in ((True, (middle, high)), (False, (low, middle))):
-        found = found.union(repeated_stretches(stored(_halved(rest, low, middle, high, upper)), a, b))
-    return found
+    ``low`` to ``high - 1`` bytes before the anchor begin the stretches of a bucket.
+    """
+    edges = [(F.col("low") + F.floor((F.col("high") - F.col("low")) * i / 4)).cast("int") for i in range(5)]
+    stretches = F.octet_length("piece") - (LENGTH - 1)
+    parts = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        begin = F.greatest(F.lit(0), F.col("reach") - high + 1)
+        count = F.least(stretches, F.col("reach") - low + 1) - begin
+        cut = occurrences.select("key", "doc", "class", "start", "reach", "piece", begin.alias("begin"), count.alias("count"), low.alias("low"), high.alias("high")).filter("count > 0 and high > low")
+        common = F.expr(f"substring(piece, reach - low + 1, {LENGTH + 1} - high + low)")
+        parts.append(cut.select(
+            F.xxhash64("key", "low", "high", common).alias("key"), "doc", "class", (F.col("start") + F.col("begin")).alias("start"),
+            (F.col("reach") - F.col("begin")).alias("reach"), F.expr(f"substring(piece, begin + 1, count + {LENGTH - 1})").alias("piece"), "low", "high",
+        ))
+    return reduce(DataFrame.union, parts)
+
+
+def repeated_stretches(occurrences: DataFrame) -> DataFrame:
+    """``doc, class, begin, end``: bytes of a document in stretches that an earlier one holds.
+
+    Each turn solves the buckets that are small enough and quarters the others,
+    which with ``OFFSETS`` places for the anchor ends after three turns more.
+    """
+    digest, found = F.xxhash64("piece"), None
+    rest = occurrences.withColumns({"low": F.lit(0), "high": F.lit(OFFSETS)})
+    while True:
+        different = stored(rest.groupBy("key", "piece").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+        large = stored(different.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BUCKET).select("key"))
+        done = large.isEmpty()
+        small = different if done else different.join(large, "key", "left_anti")
+        grouped = small.select("key", digest.alias("digest"), "piece", "first", "last").repartition("key").sortWithinPartitions("key")
+        earlier = stored(grouped.mapInArrow(_solve, "key long, digest long, begin long, end long, least long"))
+        here = rest.select("key", "doc", "class", "start", digest.alias("digest")).join(earlier, ["key", "digest"]).filter("least < doc").select(
+            "doc", "class", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end") + (LENGTH - 1)).alias("end")
+        )
+        found = here if found is None else found.union(here)
+        if done:
+            return found
+        rest = stored(_quartered(stored(rest.join(large, "key", "left_semi"))))
 
 
 def _kept(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
