@@ -10,6 +10,7 @@ the chunk's documents gives the scores, which are summed per document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,12 +28,23 @@ CHUNK_BYTES = 4 << 20
 #: Entries that a bucket has on average.
 BUCKET_ENTRIES = 1 << 20
 #: Rows hold whole chunks, so few of them go to Python at a time.
-FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
 #: The same where rows are a chunk's part of a bucket.
-MANY_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+MANY_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
 
 _FACTORS = mixed(np.arange(1, ORDER + 2, dtype=U64)) | U64(1)
 
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Mostly small numbers, byte by byte of all, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 CHUNKS = "chunk long, ids array<long>, sizes binary, vocabulary binary, words binary, n long"
 
 
@@ -49,7 +61,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, size = made + 1, [], 0
         return pa.record_batch([
             pa.array([(task << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()]),
-            pa.array([vocabulary.tobytes()]), pa.array([words.astype("<u4").tobytes()]), pa.array([len(words)]),
+            pa.array([vocabulary.tobytes()]), pa.array([_packed(words.astype("<u4"))]), pa.array([len(words)]),
         ], ["chunk", "ids", "sizes", "vocabulary", "words", "n"])
 
     for part in slices(batches):
@@ -68,7 +80,7 @@ class _Chunk:
 
     def __init__(self, row: dict):
         self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        self.words = np.frombuffer(row["vocabulary"], U64)[np.frombuffer(row["words"], "<u4")]
+        self.words = np.frombuffer(row["vocabulary"], U64)[_unpacked(row["words"], "<u4")]
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
@@ -109,7 +121,7 @@ def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.bincount(which, counts, len(distinct)).astype("<i8")[which]
         ends = np.cumsum([len(g) for g in grams])
         yield pa.record_batch([
-            group.column("chunk"), group.column("bucket"), pa.array([t.tobytes() for t in np.split(totals, ends[:-1])], pa.binary()),
+            group.column("chunk"), group.column("bucket"), pa.array([_packed(t) for t in np.split(totals, ends[:-1])], pa.binary()),
         ], ["chunk", "bucket", "totals"])
 
 
@@ -124,7 +136,7 @@ def _scores(all_words: int) -> Callable:
                 before = others  # how often the context of the order at hand stands in other documents
                 for order in range(1, ORDER + 1):
                     parts = sorted((t["bucket"], t["totals"]) for t in row["totals"] if t["order"] == order)
-                    totals = np.frombuffer(b"".join(t for _, t in parts), "<i8")
+                    totals = np.concatenate([np.empty(0, "<i8"), *(_unpacked(t, "<i8") for _, t in parts)])
                     at, grams = chunk.grams(order)
                     _, which = np.unique(grams, return_inverse=True)
                     _, own, times = np.unique(which + chunk.owner[at] * max(1, len(totals)), return_inverse=True, return_counts=True)
