@@ -8,10 +8,11 @@ similarity says how likely it still reaches the threshold, and the pair goes
 once that is below ``MISS``. What survives is confirmed on the full sets.
 
 Bands may hold very many near copies. Their pairs are never all formed: in each
-round a bucket's members are compared with one of them, the links found so far
-are contracted to components, and only members of different components go on.
-After ``ROUNDS`` such rounds the pairs that are still open are compared block by
-block, so that no candidate is left out.
+round a node is compared with one other of its buckets, the links found so far
+are contracted to components, and only buckets with several components go on.
+First that other is the one that shares most bands, which in a group of copies
+is the one most like all others. After ``ROUNDS`` such rounds the pairs that are
+still open are compared block by block, so that no candidate is left out.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BANDS, PER_BAND = 25, 5
 LENGTH = BANDS * PER_BAND
 #: Values compared at a time, and the chance of pruning a pair that is a link.
 BATCH, MISS = 25, 1e-9
-ROUNDS = 3
+ROUNDS = 4
 #: Members of a block in the last comparison.
 BLOCK = 256
 
@@ -164,16 +165,18 @@ class _Search:
             F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * PER_BAND * i, 4 * PER_BAND)) for i in range(BANDS)
         ])
         band_rows = self.nodes.select("node", F.explode(bands).alias("band"))
-        shared = band_rows.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("hub")).filter("members > 1")
+        shared = band_rows.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
         self.buckets = stored(band_rows.join(shared, "band"))
-        candidates = self.buckets.select(F.col("node").alias("doc_id")).distinct()
+        weights = self.buckets.groupBy("node").agg(F.sum("members").alias("weight"))
+        # Signatures and sets are needed for nodes that share a band only.
+        self.signed = stored(self.nodes.select("node", "n_shingles", "signature").join(weights, "node"))
+        candidates = self.signed.select(F.col("node").alias("doc_id")).distinct()
         self.sets = stored(rows.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<bigint>"))
         self.plausible = _plausible(percent)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` whose full sets are similar enough, as edges ``u, v``."""
-        signed = self.nodes.select("node", "n_shingles", "signature")
-        a, b = (signed.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
+        a, b = (self.signed.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
         near = stored(
             pairs.join(a, "a").join(b, "b").filter(_sizes_allow(F.col("na"), F.col("nb"), self.percent))
             .filter(self.plausible("sa", "sb")).select("a", "b")
@@ -186,27 +189,38 @@ class _Search:
         either = F.size("sa") + F.size("sb") - common
         return near.join(b, "b").join(a, "a").filter(100 * common >= self.percent * either).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    def one_each(self, members: DataFrame, turn: int) -> DataFrame:
+        """Pairs ``a, b`` of each node and one member of another component in its buckets."""
+        if turn:
+            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), "node")
+        else:
+            order = F.struct((-F.col("weight")).alias("by"), "node")
+            members = members.join(self.signed.select("node", "weight"), "node")
+        first = members.groupBy("band").agg(F.min(F.struct(order.alias("order"), "component")).alias("_hub"))
+        met = members.join(first, "band").filter(F.col("component") != F.col("_hub.component"))
+        picked = met.groupBy("node").agg(F.min("_hub.order").alias("_order"))
+        other = F.col("_order")["node"]
+        return picked.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+
     def open_buckets(self, stars: DataFrame) -> DataFrame:
         """Members with their components, of the buckets that hold more than one component."""
-        named = self.buckets.select("band", "node", "members").join(stars.select(F.col("u").alias("node"), F.col("v").alias("_c")), "node", "left")
+        named = self.buckets.join(stars.select(F.col("u").alias("node"), F.col("v").alias("_c")), "node", "left")
         named = named.withColumn("component", F.coalesce("_c", "node")).drop("_c")
         mixed_ones = named.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a != _b")
         return named.join(mixed_ones.select("band"), "band")
 
 
 def _meet(least: list[int], percent: int):
-    """Survivors between two blocks of a bucket, of pairs in different components."""
+    """Survivors among pairs of a bucket's block and a block of its smaller components, in different components."""
 
     def meet(batches):
         for group in runs(batches, ["band", "block", "other"]):
-            node, component, size, side = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
+            node, component, size, minor = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "minor"))
             signature = _signatures(group.column("signature"))
-            right = np.flatnonzero(side != 0)
-            same = right.size == 0  # a block with itself
-            for i in np.flatnonzero(side == 0):
-                others = np.flatnonzero(node > node[i]) if same else right
-                small, large = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
-                others = others[(component[others] != component[i]) & (100 * small >= percent * large)]
+            rest = np.flatnonzero(~minor)
+            for i in np.flatnonzero(minor):
+                small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+                others = rest[(component[rest] != component[i]) & (100 * small >= percent * large)]
                 if others.size:
                     kept = others[survivors(np.broadcast_to(signature[i], (len(others), LENGTH)), signature[others], least)]
                     if kept.size:
@@ -218,17 +232,25 @@ def _meet(least: list[int], percent: int):
 def _all_open_pairs(search: _Search, members: DataFrame) -> DataFrame:
     """Every pair of a bucket in different components that the signatures don't rule out.
 
-    Buckets are cut into blocks by a hash of the node. Two blocks at a time meet
-    in one group, so that a large bucket is many bounded groups.
+    The members of a bucket's largest component need not meet each other, so the
+    others, which are few by now, are compared with all. Both are cut into
+    blocks by a hash of the node, and two blocks at a time meet in one group, so
+    that a large bucket is many bounded groups.
     """
-    signed = members.join(search.nodes.select("node", "n_shingles", "signature"), "node")
-    cut = signed.withColumn("_blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    met = cut.withColumn("_far", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "band", F.least("_own", "_far").alias("block"), F.greatest("_own", "_far").alias("other"),
-        (F.col("_own") > F.col("_far")).cast("int").alias("side"), "node", "component", "n_shingles", "signature",
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("band").agg(
+        F.max_by("component", F.struct("_n", "component")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_rest")
+    )
+    cut = members.join(largest, "band").join(search.signed.select("node", "n_shingles", "signature"), "node").select(
+        "band", "node", "component", "n_shingles", "signature", (F.col("component") != F.col("_largest")).alias("_minor"),
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_rest") / BLOCK).cast("int").alias("_others"),
     )
-    keys = ["band", "block", "other"]
-    grouped = met.repartition(*keys).sortWithinPartitions(*keys)
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    keys, values = ["band", "block", "other"], ["node", "component", "n_shingles", "signature"]
+    everyone = cut.select("band", own("_blocks").alias("block"), each("_others").alias("other"), F.lit(False).alias("minor"), *values)
+    minors = cut.filter("_minor").select("band", each("_blocks").alias("block"), own("_others").alias("other"), F.lit(True).alias("minor"), *values)
+    grouped = everyone.union(minors).repartition(*keys).sortWithinPartitions(*keys)
     return grouped.mapInArrow(_meet(least_agreements(search.percent), search.percent), "a long, b long").distinct()
 
 
@@ -245,26 +267,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     No rows in, no rows out.
     """
     search = _Search(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), percent)
-    first = search.buckets.filter("node != hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
-    stars = components(search.links(first))
-    tested = [first]
-    for turn in range(ROUNDS):
+    stars = stored(search.signed.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v")))
+    tested = stars.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    for turn in range(ROUNDS + 1):
         members = stored(search.open_buckets(stars))
         if members.isEmpty():
             break
-        if turn == ROUNDS - 1:
-            found = search.confirmed(stored(_all_open_pairs(search, members)))
-        else:
-            order = F.struct(F.xxhash64(F.lit(turn), "node"), "node") if turn else F.struct("node", "node")
-            hubs = members.groupBy("band").agg(F.min_by(F.struct("node", "component"), order).alias("_hub"))
-            pairs = members.join(hubs, "band").filter(F.col("component") != F.col("_hub.component")).select(
-                F.least("node", "_hub.node").alias("a"), F.greatest("node", "_hub.node").alias("b")
-            ).distinct()
-            for done in tested:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            pairs = stored(pairs)
-            tested.append(pairs)
-            found = search.links(pairs)
+        pairs = search.one_each(members, turn) if turn < ROUNDS else _all_open_pairs(search, members)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = search.links(pairs) if turn < ROUNDS else search.confirmed(pairs)
+        tested = tested.union(pairs)
         stars = components(stars.union(found))
     known = search.nodes.select("h1", "h2", "n_shingles", "node")
     rows = search.profile.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2", "n_shingles"], "left")
@@ -272,3 +284,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     joined = rows.select("doc_id", "n_shingles", node.alias("node")).join(stars.select(F.col("u").alias("node"), "v"), "node", "left")
     component = F.coalesce("v", "node")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``near_duplicates`` keeps."""
+    dropped = near_duplicates(docs, percent, id_column, text_column).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"))
+    found = rows.join(dropped, rows["id"] == dropped["dropped_id"], "left_anti")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
