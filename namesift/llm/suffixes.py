@@ -113,7 +113,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, limit: int, column
         if held and held[-1].column(key)[-1].as_py() == keys[0] == keys[-1]:
             held.append(part)
             continue
-        cut = int(np.searchsorted(keys != keys[-1], False, side="left")) if keys[0] != keys[-1] else 0
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))
         if held or cut:
             yield pa.Table.from_batches([*held, part.slice(0, cut)]).combine_chunks().to_batches()[0]
         held = [part.slice(cut)]

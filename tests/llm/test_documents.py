@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -139,6 +140,31 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert collected(suffixes.remove_repeats(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_groups_stay_whole_over_batches():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        keys = np.sort(r.integers(-4, 4, r.integers(1, 30)))
+        table = pa.table({"key": keys, "piece": [b"x" * int(n) for n in r.integers(1, 9, len(keys))], "row": np.arange(len(keys))})
+        batches = table.to_batches(max_chunksize=int(r.integers(1, 6)))
+        found = [(set(b["key"].to_pylist()), b["row"].to_pylist()) for b in suffixes.whole_groups(batches, "key", 12, "piece")]
+        assert sum((f[1] for f in found), []) == list(range(len(keys)))
+        assert sum(len(f[0]) for f in found) == len(set(keys.tolist()))
+
+
+def test_repeats_over_batch_borders(spark):
+    passages = [prose(300 + k, 12) for k in range(30)]
+    rows = [(i, prose(400 + i, 8) + passages[i % 30] + prose(600 + i, 8)) for i in range(90)]
+    want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute.removed_repeats(rows)]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for size in (2, 3, 5):
+            spark.conf.set(setting, size)
+            assert collected(suffixes.remove_repeats(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    finally:
+        spark.conf.set(setting, before)
+
+
 def encoded(rows):
     tokenizer = tokenizers.Tokenizer.from_file(PATH)
     return tokenizer, {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in rows}
