@@ -17,7 +17,7 @@ still open are compared block by block, so that no candidate is left out.
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +31,39 @@ from .graph import components
 from .streams import runs
 
 WORDS = 5
-#: A pair of similarity 0.85 agrees on no band with probability 4e-7.
-BANDS, PER_BAND = 25, 5
-LENGTH = BANDS * PER_BAND
+#: The chance that a pair just at the threshold agrees on no band.
+UNSEEN = 5e-7
+#: Values of a band at most, and of a signature before bands get fewer values.
+PER_BAND, LONG = 5, 256
+
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands, and values in each, by which a link is missed with probability ``UNSEEN`` at most."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    for each in range(PER_BAND, 0, -1):
+        apart = 1 - (percent / 100) ** each
+        count = ceil(log(UNSEEN) / log(apart)) if apart else 1
+        if count * each <= LONG:
+            break
+    return count, each
+
+
+#: Values of a signature at 85 percent: 25 bands of 5.
+LENGTH = bands_for(85)[0] * bands_for(85)[1]
 #: Values compared at a time, and the chance of pruning a pair that is a link.
 BATCH, MISS = 25, 1e-9
 ROUNDS = 4
 #: Members of a block in the last comparison.
 BLOCK = 256
 
-_FACTORS = mixed(np.arange(1, 2 * LENGTH + 2 * WORDS + 3, dtype=U64)) | U64(1)
+
+def _odd(count: int) -> np.ndarray:
+    """Fixed odd factors; a longer list begins with the shorter one."""
+    return mixed(np.arange(1, count + 1, dtype=U64)) | U64(1)
+
+
+_FACTORS = _odd(2 * WORDS + 2)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,27 +93,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
 
 
-def _profile(batches):
-    for part in slices(batches):
-        data, offsets = bytes_of(part.column("text"))
-        hashes, of = shingle_sets(data, offsets)
-        count = np.bincount(of, minlength=part.num_rows)
-        full = np.flatnonzero(count)
-        first = np.searchsorted(of, full)
-        signature = np.zeros((part.num_rows, LENGTH), np.uint32)
-        digests = np.zeros((2, part.num_rows), U64)
-        if len(full):
-            work = np.empty_like(hashes)
-            for j in range(LENGTH):
-                np.multiply(hashes, _FACTORS[2 * j], out=work)
-                np.add(work, _FACTORS[2 * j + 1], out=work)
-                signature[full, j] = np.minimum.reduceat(work, first) >> U64(32)
-            for j in range(2):
-                digests[j, full] = np.add.reduceat(mixed(hashes + _FACTORS[j]), first)
-        yield pa.record_batch([
-            part.column("doc_id"), pa.array(count.astype(np.int64)), *[pa.array(d.view(np.int64)) for d in digests],
-            pa.array([s.tobytes() if n else None for s, n in zip(signature, count, strict=True)], pa.binary()),
-        ], ["doc_id", "n_shingles", "h1", "h2", "signature"])
+def _profile(length: int):
+    """Set sizes, digests and signatures of ``length`` values."""
+    factors = _odd(2 * length)
+
+    def profile(batches):
+        for part in slices(batches):
+            data, offsets = bytes_of(part.column("text"))
+            hashes, of = shingle_sets(data, offsets)
+            count = np.bincount(of, minlength=part.num_rows)
+            full = np.flatnonzero(count)
+            first = np.searchsorted(of, full)
+            signature = np.zeros((part.num_rows, length), np.uint32)
+            digests = np.zeros((2, part.num_rows), U64)
+            if len(full):
+                work = np.empty_like(hashes)
+                for j in range(length):
+                    np.multiply(hashes, factors[2 * j], out=work)
+                    np.add(work, factors[2 * j + 1], out=work)
+                    signature[full, j] = np.minimum.reduceat(work, first) >> U64(32)
+                for j in range(2):
+                    digests[j, full] = np.add.reduceat(mixed(hashes + _FACTORS[j]), first)
+            yield pa.record_batch([
+                part.column("doc_id"), pa.array(count.astype(np.int64)), *[pa.array(d.view(np.int64)) for d in digests],
+                pa.array([s.tobytes() if n else None for s, n in zip(signature, count, strict=True)], pa.binary()),
+            ], ["doc_id", "n_shingles", "h1", "h2", "signature"])
+
+    return profile
 
 
 def _sets(batches):
@@ -100,15 +129,15 @@ def _sets(batches):
         yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
 
 
-def least_agreements(percent: int) -> list[int]:
-    """For 0 to ``LENGTH`` values compared, the agreements below which a pair goes.
+def least_agreements(percent: int, length: int = LENGTH) -> list[int]:
+    """For 0 to ``length`` values compared, the agreements below which a pair goes.
 
     With a uniform prior, the similarity after m agreements in n has the
     posterior Beta(m + 1, n - m + 1), whose part above t is the chance of at
     most m successes in n + 1 trials with probability t.
     """
     t, least = percent / 100, []
-    for n in range(LENGTH + 1):
+    for n in range(length + 1):
         tail, m = 0.0, -1
         while tail < MISS:
             m += 1
@@ -121,25 +150,26 @@ def survivors(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarr
     """Which rows of two signature tables no batch prunes."""
     alive = np.arange(len(left))
     agreed = np.zeros(len(left), np.int64)
-    for start in range(0, LENGTH, BATCH):
-        stop = min(start + BATCH, LENGTH)
+    length = left.shape[1]
+    for start in range(0, length, BATCH):
+        stop = min(start + BATCH, length)
         agreed = agreed + (left[alive, start:stop] == right[alive, start:stop]).sum(axis=1)
         keep = agreed >= least[stop]
         alive, agreed = alive[keep], agreed[keep]
     return alive
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return bytes_of(column)[0].view(np.uint32).reshape(-1, LENGTH)
+def _signatures(column: pa.Array, length: int) -> np.ndarray:
+    return bytes_of(column)[0].view(np.uint32).reshape(-1, length)
 
 
-def _plausible(percent: int):
-    least = least_agreements(percent)
+def _plausible(least: list[int]):
+    length = len(least) - 1
 
     @F.arrow_udf(T.BooleanType())
     def plausible(left: pa.Array, right: pa.Array) -> pa.Array:
         flags = np.zeros(len(left), bool)
-        flags[survivors(_signatures(left), _signatures(right), least)] = True
+        flags[survivors(_signatures(left, length), _signatures(right, length), least)] = True
         return pa.array(flags)
 
     return plausible
@@ -154,17 +184,19 @@ class _Search:
 
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
+        bands, per_band = bands_for(percent)
+        self.least = least_agreements(percent, bands * per_band)
         rows = text_rows(docs)
-        self.profile = stored(rows.mapInArrow(_profile, PROFILE))
+        self.profile = stored(rows.mapInArrow(_profile(bands * per_band), PROFILE))
         in_graph = self.profile.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         self.nodes = stored(
             in_graph.groupBy("h1", "h2", "n_shingles")
             .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
         )
-        bands = F.array(*[
-            F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * PER_BAND * i, 4 * PER_BAND)) for i in range(BANDS)
+        keys = F.array(*[
+            F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * per_band * i, 4 * per_band)) for i in range(bands)
         ])
-        band_rows = self.nodes.select("node", F.explode(bands).alias("band"))
+        band_rows = self.nodes.select("node", F.explode(keys).alias("band"))
         shared = band_rows.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
         self.buckets = stored(band_rows.join(shared, "band"))
         weights = self.buckets.groupBy("node").agg(F.sum("members").alias("weight"))
@@ -172,7 +204,7 @@ class _Search:
         self.signed = stored(self.nodes.select("node", "n_shingles", "signature").join(weights, "node"))
         candidates = self.signed.select(F.col("node").alias("doc_id")).distinct()
         self.sets = stored(rows.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<bigint>"))
-        self.plausible = _plausible(percent)
+        self.plausible = _plausible(self.least)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` whose full sets are similar enough, as edges ``u, v``."""
@@ -212,17 +244,18 @@ class _Search:
 
 def _meet(least: list[int], percent: int):
     """Survivors among pairs of a bucket's block and a block of its smaller components, in different components."""
+    length = len(least) - 1
 
     def meet(batches):
         for group in runs(batches, ["band", "block", "other"]):
             node, component, size, minor = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "minor"))
-            signature = _signatures(group.column("signature"))
+            signature = _signatures(group.column("signature"), length)
             rest = np.flatnonzero(~minor)
             for i in np.flatnonzero(minor):
                 small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
                 others = rest[(component[rest] != component[i]) & (100 * small >= percent * large)]
                 if others.size:
-                    kept = others[survivors(np.broadcast_to(signature[i], (len(others), LENGTH)), signature[others], least)]
+                    kept = others[survivors(np.broadcast_to(signature[i], (len(others), length)), signature[others], least)]
                     if kept.size:
                         yield pa.record_batch([np.minimum(node[i], node[kept]), np.maximum(node[i], node[kept])], ["a", "b"])
 
@@ -251,7 +284,7 @@ def _all_open_pairs(search: _Search, members: DataFrame) -> DataFrame:
     everyone = cut.select("band", own("_blocks").alias("block"), each("_others").alias("other"), F.lit(False).alias("minor"), *values)
     minors = cut.filter("_minor").select("band", each("_blocks").alias("block"), own("_others").alias("other"), F.lit(True).alias("minor"), *values)
     grouped = everyone.union(minors).repartition(*keys).sortWithinPartitions(*keys)
-    return grouped.mapInArrow(_meet(least_agreements(search.percent), search.percent), "a long, b long").distinct()
+    return grouped.mapInArrow(_meet(search.least, search.percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -95,6 +95,26 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert len(minhash.survivors(left[:1000], (~far).astype(np.uint32), least)) < 20
 
 
+def changed_ends(words, changes):
+    """Pairs of texts; the second has other words at its end, one shingle for each."""
+    rows = []
+    for i, k in enumerate(changes):
+        own = [f"w{i}x{j}" for j in range(words)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[: words - k], *(f"n{i}x{j}" for j in range(k))]))]
+    return rows
+
+
+def test_bands_follow_the_threshold(spark):
+    assert minhash.bands_for(85) == (25, 5)
+    for percent in range(1, 101):
+        bands, each = minhash.bands_for(percent)
+        assert (1 - (percent / 100) ** each) ** bands <= minhash.UNSEEN
+        assert len(minhash.least_agreements(percent, bands * each)) == bands * each + 1
+    rows = changed_ends(104, [30, 32, 33, 34] * 10)  # similarities 0.54, 0.52, 0.50 and below
+    found = collected(minhash.near_duplicates(table(spark, rows), 50), "doc_id", "n_shingles", "component_id")
+    assert found == brute.near_duplicates(rows, 50)
+
+
 def test_lines(docs, rows):
     held = {}
     for i, t in rows:
