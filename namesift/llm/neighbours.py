@@ -5,7 +5,8 @@ equal size with few edges between them, and a small network learns in which
 partitions the neighbours of a vector lie. Every row is put into the partition
 that the network holds most probable; a query is compared with all rows of its
 most probable partitions, in double precision. How many partitions that takes is
-measured on sample vectors that the network was not fitted to.
+measured on sample vectors that the network was not fitted to. A query whose
+partitions hold too few rows is compared with all.
 
 Rows of a partition and the queries that come to it are cut into blocks, and two
 blocks at a time meet in a task, so that neither a crowded partition nor very
@@ -219,14 +220,25 @@ def nearest_vectors(vectors: DataFrame, every: int = 100, k: int = 10, id_column
         """For each partition, the number of blocks; there are few partitions."""
         return F.broadcast(table.groupBy("part").agg(F.ceil(F.count("*") / rows_each).cast("int").alias(name)))
 
-    grid = blocks(index, BLOCK, "_blocks").join(blocks(asked, QUERY_BLOCK, "_queries"), "part")
-    every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block")
-    every_query = F.explode(F.sequence(F.lit(0), F.col("_queries") - 1)).alias("query_block")
-    own = lambda count: F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int")
-    left = index.join(F.broadcast(grid), "part").select("part", own("_blocks").alias("block"), every_query, F.lit(False).alias("is_query"), "vec_id", "vector")
-    right = asked.join(F.broadcast(grid), "part").select("part", every_block, own("_queries").alias("query_block"), F.lit(True).alias("is_query"), "vec_id", "vector")
-    keys = ["part", "block", "query_block"]
-    met = left.union(right.select(left.columns)).repartition(*keys).sortWithinPartitions(*keys)
-    near = met.mapInArrow(_rerank(size, k), found)
+    def ranked(asked: DataFrame) -> DataFrame:
+        """The nearest ``k`` rows of each block for the queries that come to it."""
+        grid = blocks(index, BLOCK, "_blocks").join(blocks(asked, QUERY_BLOCK, "_queries"), "part")
+        every_block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block")
+        every_query = F.explode(F.sequence(F.lit(0), F.col("_queries") - 1)).alias("query_block")
+        own = lambda count: F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int")
+        left = index.join(F.broadcast(grid), "part").select("part", own("_blocks").alias("block"), every_query, F.lit(False).alias("is_query"), "vec_id", "vector")
+        right = asked.join(F.broadcast(grid), "part").select("part", every_block, own("_queries").alias("query_block"), F.lit(True).alias("is_query"), "vec_id", "vector")
+        keys = ["part", "block", "query_block"]
+        met = left.union(right.select(left.columns)).repartition(*keys).sortWithinPartitions(*keys)
+        return met.mapInArrow(_rerank(size, k), found)
+
+    near = ranked(asked)
+    if route is not None and probes < PARTITIONS:
+        # Where the probed partitions hold fewer than k candidates, all are asked.
+        near = stored(near)
+        full = near.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_id")
+        short = asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "vector").distinct()
+        again = stored(short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1)))))
+        near = near.join(full, "query_id", "left_semi").select("query_id", "vec_id", "score").union(ranked(again))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -43,6 +43,21 @@ def test_recall(spark):
     assert hits >= 0.9 * 300
 
 
+def test_few_clustered_vectors_give_all_ranks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = 10 * np.repeat(np.eye(8), 5, axis=0) + 0.01 * r.standard_normal((40, 8))
+    fit = neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda sample: (fit(sample)[0], 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in neighbours.nearest_vectors(table, every=5).collect():
+        found.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    assert sorted(found) == list(range(0, 40, 5))
+    for query, ranked in found.items():
+        assert [f[0] for f in sorted(ranked)] == list(range(1, 11))
+        assert [f[1:] for f in sorted(ranked)] == exact_neighbours(np.arange(40), x, query)
+
+
 def test_equal_and_unusable_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     bad = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 1.0])]
