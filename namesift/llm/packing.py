@@ -5,7 +5,8 @@ windows of the context size are cut off first; what is left of a document goes
 to the smallest tier that holds it. A tier's windows begin with a remainder of
 their own, and their gaps are filled from shorter tiers, cut to fit. All windows
 are full, so that only the last sequence of a task is padded. Windows of one
-tier are put into step groups of equal numbers of tokens.
+tier are put into step groups of equal numbers of tokens within a task, except
+its last group of each tier.
 
 Each task packs the documents it reads as they come, holding what waits for a
 window; nothing is shuffled.
