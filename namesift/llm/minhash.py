@@ -122,6 +122,21 @@ def _profile(length: int):
     return profile
 
 
+def _digests(batches):
+    """The set of each text by size and digests, with the row's id and text hashes."""
+    for part in slices(batches):
+        hashes, of = shingle_sets(*bytes_of(part.column("text")))
+        count = np.bincount(of, minlength=part.num_rows)
+        full = np.flatnonzero(count)
+        digests = np.zeros((2, part.num_rows), U64)
+        if len(full):
+            for j in range(2):
+                digests[j, full] = np.add.reduceat(mixed(hashes + _FACTORS[j]), np.searchsorted(of, full))
+        yield pa.record_batch([
+            *[part.column(c) for c in ("doc_id", "t1", "t2")], pa.array(count.astype(np.int64)), *[pa.array(d.view(np.int64)) for d in digests],
+        ], ["doc_id", "t1", "t2", "n_shingles", "h1", "h2"])
+
+
 def _sets(batches):
     for part in slices(batches):
         hashes, of = shingle_sets(*bytes_of(part.column("text")))
@@ -299,6 +314,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     texts. A row without id has no links and is kept, with a null component.
     No rows in, no rows out.
     """
+    return _decided(docs, percent, id_column, text_column).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with the digests of their sets."""
     search = _Search(docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")), percent)
     stars = stored(search.signed.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v")))
     tested = stars.select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -314,14 +334,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     known = search.nodes.select("h1", "h2", "n_shingles", "node")
     rows = search.profile.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2", "n_shingles"], "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
-    joined = rows.select("doc_id", "n_shingles", node.alias("node")).join(stars.select(F.col("u").alias("node"), "v"), "node", "left")
+    joined = rows.select("doc_id", "n_shingles", "h1", "h2", node.alias("node")).join(stars.select(F.col("u").alias("node"), "v"), "node", "left")
     component = F.coalesce("v", "node")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, that ``near_duplicates`` keeps."""
-    dropped = near_duplicates(docs, percent, id_column, text_column).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"))
-    found = rows.join(dropped, rows["id"] == dropped["dropped_id"], "left_anti")
+    """The rows, with all their columns, that ``near_duplicates`` keeps.
+
+    Of an id with rows that are kept and rows that are not, rows go by their sets.
+    """
+    decided = stored(_decided(docs, percent, id_column, text_column).filter("doc_id is not null"))
+    fates = stored(decided.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")).filter("not all"))
+    dropped = fates.filter("not some").select(F.col("doc_id").alias("id"))
+    split = fates.filter("some").select("doc_id")
+    gone = decided.filter("not kept").join(split, "doc_id", "left_semi").select("doc_id", "n_shingles", "h1", "h2").distinct()
+    hashed = text_rows(docs, id_column, text_column).join(split, "doc_id", "left_semi").withColumns(
+        {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+    )
+    sets = hashed.mapInArrow(_digests, "doc_id long, t1 long, t2 long, n_shingles long, h1 long, h2 long")
+    texts = stored(sets.join(gone, ["doc_id", "n_shingles", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "t1", "t2").distinct())
+    text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"),
+        F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
+    )
+    found = rows.join(dropped, "id", "left_anti").join(texts, ["id", "t1", "t2"], "left_anti")
     return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

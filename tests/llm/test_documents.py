@@ -350,3 +350,13 @@ def test_row_keeping_forms(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, "same text here"): 1, (None, "other"): 1, (4, None): 1}
     near = minhash.without_near_copies(table(spark, [(1, prose(50, 60)), (2, prose(50, 60).upper()), (None, "x")]))
     assert {r.doc_id for r in near.collect()} == {1, None}
+
+
+def test_repeated_id_with_different_texts(spark):
+    first, own = prose(60, 60), prose(61, 60)
+    rows = [(3, first), (5, own), (5, first.upper()), (7, own + " more"), (None, first)]
+    docs = table(spark, rows)
+    near = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect() if r.doc_id == 5}
+    assert near == {(5, 5, True), (5, 3, False)}
+    kept = Counter((r.doc_id, r.text) for r in minhash.without_near_copies(docs).collect())
+    assert kept == {(3, first): 1, (5, own): 1, (None, first): 1}
