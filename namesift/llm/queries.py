@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, minhash, neighbours, ngrams, packing, quality, shards, suffixes
+from . import bpe, exact, languages, lines, merkle, minhash, neighbours, ngrams, packing, quality, shards, suffixes, tries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,18 @@ def op9_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ternary_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))

@@ -67,11 +67,14 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    want, found = con.sql(CHECKS[name]).df(), QUERIES[name](spark, SF).toPandas()
-    columns = sorted(want.columns)
-    assert columns == sorted(found.columns)
-    assert sorted(map(str, found[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+    for name_of in ("documents", "conversations"):
+        con.sql(f"create view {name_of} as select * from '{SF}/{name_of}.parquet'")
+    answer, frame = con.sql(CHECKS[name]), QUERIES[name](spark, SF)
+    columns = sorted(answer.columns)
+    assert columns == sorted(frame.columns)
+    want = [dict(zip(answer.columns, r, strict=True)) for r in answer.fetchall()]
+    found = [r.asDict() for r in frame.collect()]
+    assert sorted(str([r[c] for c in columns]) for r in found) == sorted(str([r[c] for c in columns]) for r in want)
 
 
 def test_pipeline(spark, rows, tmp_path):
