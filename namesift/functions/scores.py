@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from .names import stem
 from .tokens import term_counts, tokenize
@@ -22,6 +25,9 @@ SIZE_EXACT = 0.99
 SIZE_VERY_CLOSE = 0.95
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
+#: Numbers that the character places of a batch of texts take at most, but for a single text.
+MOST_WORDS = 4 << 20
+
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -39,6 +45,65 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+def _bits(texts: list[str], codes: dict[str, int], words: int) -> np.ndarray:
+    """For each text and character code, the text's places of that character as bits of ``words`` numbers."""
+    table = np.zeros((len(texts), len(codes) + 1, words), np.uint64)
+    for row, text in zip(table, texts, strict=True):
+        for at, c in enumerate(text):
+            row[codes[c], at // 64] |= np.uint64(1 << at % 64)
+    return table
+
+
+def common_subsequence(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, for all pairs at once.
+
+    Bit i of a pair's state says whether character i of the left text adds
+    nothing yet; each character of the right text changes all of them by one
+    addition.
+    """
+    sides = [side.dictionary_encode() for side in (left, right)]
+    of_left, of_right = (s.indices.to_numpy(zero_copy_only=False) for s in sides)
+    lefts, rights = (s.dictionary.to_pylist() for s in sides)
+    codes = {c: i for i, c in enumerate(sorted(set().union(*lefts)))}
+    words = max(1, -(-max(map(len, lefts), default=0) // 64))
+    if len(left) > 1 and len(lefts) * (len(codes) + 1) * words > MOST_WORDS:
+        half = len(left) // 2
+        return np.concatenate([common_subsequence(left[:half], right[:half]), common_subsequence(left[half:], right[half:])])
+    table = _bits(lefts, codes, words)
+    longest = max(map(len, rights), default=0)
+    coded = np.full((longest, len(rights)), len(codes), np.int64)  # the last code stands for no character of any left text
+    for j, text in enumerate(rights):
+        coded[: len(text), j] = [codes.get(c, len(codes)) for c in text]
+    state = np.full((words, len(left)), ~np.uint64(0))
+    for place in coded:
+        places = table[of_left, place[of_right]]
+        carry = np.zeros(len(left), np.uint64)
+        for w in range(words):
+            old = state[w]
+            hit = old & places[:, w]
+            total = old + hit
+            carried = total + carry
+            carry = ((total < old) | (carried < total)).astype(np.uint64)
+            state[w] = carried | (old & ~hit)
+    sizes = np.array([len(t) for t in lefts], np.int64)[of_left]
+    found = np.zeros(len(left), np.int64)
+    for w in range(words):
+        inside = np.clip(sizes - 64 * w, 0, 64)
+        unused = ~state[w] & np.where(inside == 64, ~np.uint64(0), (np.uint64(1) << (inside % 64).astype(np.uint64)) - np.uint64(1))
+        found += np.bitwise_count(unused)
+    return found
+
+
+@F.arrow_udf(BooleanType())
+def subsequence_reaches(left: pa.Array, right: pa.Array, threshold: pa.Array) -> pa.Array:
+    """Whether the longest common subsequence allows a sequence similarity of the threshold."""
+    if not len(left):
+        return pa.array([], pa.bool_())
+    both = (pa.compute.utf8_length(left).to_numpy(zero_copy_only=False) + pa.compute.utf8_length(right).to_numpy(zero_copy_only=False)).astype(float)
+    ratio = np.divide(2.0 * common_subsequence(left, right), both, out=np.ones(len(left)), where=both > 0)
+    return pa.array(ratio >= threshold.to_numpy(zero_copy_only=False))
+
+
 def name_similarity(name1: Column, name2: Column) -> Column:
     """Sequence similarity of two lower-cased stems."""
     return sequence_ratio(F.lower(stem(name1)), F.lower(stem(name2)))
