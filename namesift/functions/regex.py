@@ -13,8 +13,6 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
-from re import _constants as _c
-from re import _parser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +20,13 @@ from pyspark.sql import functions as F
 
 from .names import MARK, convert_marked, edit_stem, title_case
 
+try:  # where Python keeps the parser of its patterns differs between versions
+    from re import _constants as _c
+    from re import _parser
+except ImportError:
+    import sre_constants as _c
+    import sre_parse as _parser
+
 # Python's character categories spelled out for Java (fixed values).
 _CATEGORIES = {
     _c.CATEGORY_DIGIT: r"\p{Nd}",
@@ -75,7 +80,8 @@ def _anchor(kind, flags: int) -> str:
         w = _category(_c.CATEGORY_WORD, flags)
         if kind is _c.AT_BOUNDARY:
             return f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
-        return f"(?:(?<={w})(?={w})|(?<!{w})(?!{w}))"
+        # An empty text has no place between two characters of a kind.
+        return rf"(?:(?<={w})(?={w})|(?!\A\z)(?<!{w})(?!{w}))"
     if kind is _c.AT_BEGINNING:
         return r"(?:\A|(?<=\n))" if multiline else r"\A"
     if kind is _c.AT_BEGINNING_STRING:
@@ -124,6 +130,39 @@ def _java(tree, flags: int) -> str:
     return out
 
 
+#: A place between the halves of a character outside the basic plane, where Java
+#: looks for empty matches and Python does not. No text has a second half alone.
+_WHOLE_CHARACTERS = r"(?![\x{DC00}-\x{DFFF}])"
+
+#: Matches nothing more. Java looks behind by halves of characters, and by whole
+#: ones only if the pattern's text has a character outside the basic plane.
+_BY_CHARACTERS = "(?:\U00010400){0}"
+
+
+def _longest_first(tree) -> bool:
+    """Whether a pattern that can match empty text does so only where it can't match more.
+
+    After an empty match Python looks for a longer one at the same place, Java
+    goes on behind it. Where longer matches are tried first there is none.
+    """
+    for kind, value in tree:
+        if kind is _c.MIN_REPEAT:
+            return False
+        if kind is _c.BRANCH:
+            *others, last = value[1]
+            if any(branch.getwidth()[0] == 0 for branch in others) or not all(map(_longest_first, [*others, last])):
+                return False
+        elif kind is _c.SUBPATTERN:
+            if not _longest_first(value[3]):
+                return False
+        elif kind in _REPEATS:
+            if not _longest_first(value[2]):
+                return False
+        elif kind is _c.ATOMIC_GROUP and not _longest_first(value):
+            return False
+    return True
+
+
 @dataclass(frozen=True)
 class CompiledPattern:
     """A checked pattern. ``java`` is None where only Python can run it."""
@@ -141,17 +180,17 @@ def compile_pattern(pattern: str) -> CompiledPattern | None:
             tree = _parser.parse(pattern)
     except (re.error, RecursionError, OverflowError):
         return None
-    # Java looks for an empty match between the halves of a character outside
-    # the basic plane, Python does not. Patterns tied to an edge of the text
-    # cannot match there.
-    tied = any(kind is _c.AT and value in _EDGES for kind, value in tree)
-    if tree.getwidth()[0] == 0 and (not tied or compiled.flags & re.MULTILINE):
+    empty = tree.getwidth()[0] == 0
+    if empty and not _longest_first(tree):
         return CompiledPattern(compiled, None)
     try:
-        flags = "(?iu)" if compiled.flags & re.IGNORECASE else ""
-        return CompiledPattern(compiled, flags + _java(tree, compiled.flags))
+        java = _java(tree, compiled.flags)
     except _NoJavaForm:
         return CompiledPattern(compiled, None)
+    if "(?<" in java:
+        java += _BY_CHARACTERS
+    flags = "(?iu)" if compiled.flags & re.IGNORECASE else ""
+    return CompiledPattern(compiled, flags + (f"{_WHOLE_CHARACTERS}(?:{java})" if empty else java))
 
 
 def validate_regex(pattern: str) -> str | None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .clean import clean_names
 from .ordering import with_sorted_index
+from .skew import split_lookup
 
 
 def altered_only(rows: DataFrame, original: str = "original", new: str = "new_name") -> DataFrame:
@@ -34,9 +35,10 @@ def preview_table(files: DataFrame, operations: Iterable, selection: DataFrame |
     else:
         keys = [c for c in ("parent", "name") if c in selection.columns]
         chosen = selection.select(*keys).distinct().withColumn("_chosen", F.lit(True))
-        marked = cleaned.join(chosen, keys, "left").withColumn(
-            "selected", F.coalesce("_chosen", F.lit(False))
-        )
+        counts = files.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        # A name that very many files share is looked up in several tasks.
+        looked_up = split_lookup(cleaned, chosen, keys, counts, "_rows", ["parent", "idx"], how="left")
+        marked = looked_up.withColumn("selected", F.coalesce("_chosen", F.lit(False)))
     return marked.select(
         "parent", "idx", "selected",
         F.col("name").alias("current"),

@@ -54,19 +54,20 @@ def split_lookup(
     count: str,
     spread_by: list[str],
     min_rows: int = ROWS_PER_SHARE,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of ``rows`` to ``other`` where ``rows`` may have hot keys.
+    """Join of ``rows`` to ``other`` where ``rows`` may have hot keys: ``inner``, ``left`` or ``left_semi``.
 
-    ``counts`` tells how many rows each key has. Rows of a hot key are spread
-    by the columns ``spread_by``, and what ``other`` holds for it is repeated
-    for each share.
+    ``counts`` tells how many rows each key has at most. Rows of a hot key are
+    spread by the columns ``spread_by``, and what ``other`` holds for it is
+    repeated for each share.
     """
     hot = hot_keys(counts, keys, count, min_rows)
     if hot is None:
-        return rows.join(other, keys)
+        return rows.join(other, keys, how)
     spread = rows.join(hot, keys, "left").withColumn("_share", _share(spread_by, "_splits"))
     repeated = other.join(hot, keys, "left").withColumn("_share", _every_share("_splits"))
-    return spread.drop("_splits").join(repeated.drop("_splits"), [*keys, "_share"]).drop("_share")
+    return spread.drop("_splits").join(repeated.drop("_splits"), [*keys, "_share"], how).drop("_share")
 
 
 def split_join(
@@ -76,21 +77,30 @@ def split_join(
     left_spread: list[str],
     right_spread: list[str],
     min_rows: int = ROWS_PER_SIDE,
+    left_counts: DataFrame | None = None,
+    right_counts: DataFrame | None = None,
+    always_spread: bool = True,
 ) -> DataFrame:
     """Inner join in which both sides may have hot keys.
 
     The pairs of a hot key form a grid: each side is cut into shares and every
     share of one meets every share of the other in a task of its own. Columns
-    other than the keys must differ between the sides.
+    other than the keys must differ between the sides. ``left_counts`` and
+    ``right_counts`` have the keys and ``_rows``, where these are known; without
+    ``always_spread`` a join that has no hot key is left to Spark.
     """
     cell = float(min_rows) ** 2
-    l, r = (_row_counts(side, keys).withColumnRenamed("_rows", c) for side, c in ((left, "_l"), (right, "_r")))
+    l = (_row_counts(left, keys) if left_counts is None else left_counts).withColumnRenamed("_rows", "_l")
+    r = (_row_counts(right, keys) if right_counts is None else right_counts).withColumnRenamed("_rows", "_r")
     shares = [
         F.ceil(F.col(own) * F.least(F.col(far), F.lit(min_rows)) / cell).cast("int").alias(name)
         for own, far, name in (("_l", "_r", "_ls"), ("_r", "_l", "_rs"))
     ]
     hot = stored(l.join(r, keys).select(*keys, *shares).filter("_ls > 1 or _rs > 1"))
-    if not hot.isEmpty():
+    if hot.isEmpty():
+        if not always_spread:
+            return left.join(right, keys)
+    else:
         left = left.join(hot, keys, "left").withColumn("_lshare", _share(left_spread, "_ls"))
         left = left.withColumn("_rshare", _every_share("_rs")).drop("_ls", "_rs")
         right = right.join(hot, keys, "left").withColumn("_rshare", _share(right_spread, "_rs"))

@@ -49,4 +49,27 @@ def stored(rows: DataFrame, settings: dict[str, str] | None = None) -> DataFrame
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark reads, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again.
+
+    Only for tables whose readers have themselves been stored: a result that
+    still has to be computed needs them, also if an executor is lost.
+    """
+    for table in tables:
+        delete_folder(table.sparkSession, table.stored_at)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .inventories import inventory_sql
+from .inventories import RENUMBERED, inventory_sql
 
 CHECKS: dict[str, str] = {}
 
@@ -252,6 +252,10 @@ select count(*) as files, count_if(altered) as altered, count_if(selected) as se
   count_if(altered and selected) as selected_altered
 from ({CHECKS['preview_table']}) p"""
 
+def changes_sql() -> str:
+    return RENUMBERED.replace("{part}", "part")
+
+
 CHANGES = "(select parent, name as original, v as new_name from " + renamed([
     ("dates", "%Y.%m.%d"), "regexp_replace({s}, ' [1-3]-[a-z]+$', '')", "regexp_replace({s}, '5-low$', '5-LOW')",
 ]) + " t where v <> name)"
@@ -279,6 +283,34 @@ CHECKS["rename_counts"] = f"select status, count(*) as changes from ({CHECKS['re
 CHECKS["rename_summary"] = f"""
 select count_if(message = '') as success_count, count_if(message <> '') as error_count
 from ({CHECKS['rename_plan']}) p"""
+CHECKS["rename_sink"] = CHECKS["rename_plan"]
+CHECKS["rename_steps"] = f"""
+with recursive files as (select distinct parent, name from {inventory_sql('inv_numbered')} f),
+moves as (
+  select parent, min(original) as original, new_name from (
+    select c.parent, original, min(new_name) as new_name from ({changes_sql()}) c
+    join files f on f.parent = c.parent and f.name = c.original where new_name <> original group by c.parent, original) m
+  group by parent, new_name),
+nodes as (
+  select m.*, n.original as next, n.original is null and f.name is not null as stuck from moves m
+  left join moves n on n.parent = m.parent and n.original = m.new_name
+  left join files f on f.parent = m.parent and f.name = m.new_name),
+walk as (
+  select parent, original, [original] as seen, next, stuck from nodes
+  union all
+  select w.parent, w.original, list_append(seen, n.original), n.next, n.stuck
+  from walk w join nodes n on n.parent = w.parent and n.original = w.next where not list_contains(seen, w.next)),
+longest as (select parent, original, arg_max(struct_pack(seen := seen, next := next, stuck := stuck), len(seen)) as w from walk group by parent, original),
+numbered as (
+  select n.parent, n.original, n.new_name, w.next is not null as cyclic, list_min(w.seen) as least, len(w.seen) as length,
+    case when w.next is null then len(w.seen) when list_min(w.seen) = n.original then len(w.seen) else list_position(w.seen, list_min(w.seen)) - 1 end as step
+  from nodes n join longest l using (parent, original) where not w.stuck),
+ways as (
+  select *, (cyclic and least = original) or lower(original) = lower(new_name) as by_way,
+    concat('_temp_', left(sha256(concat(parent, original)), 16)) as halfway from numbered)
+select parent, step, original as from_name, new_name as to_name from ways where not by_way
+union all select parent, 0, original, halfway from ways where by_way
+union all select parent, step, halfway, new_name from ways where by_way"""
 CHECKS["rename_errors"] = f"select parent, original, message from ({CHECKS['rename_plan']}) p where message <> ''"
 
 # Inventories
@@ -325,6 +357,13 @@ CHECKS["corpus_union"] = f"select name from {CORPUS} c"
 CHECKS["tf"] = f"with corpus as {CORPUS}, {WEIGHTS} select path, token, tf from tf"
 CHECKS["idf"] = f"with corpus as {CORPUS}, {WEIGHTS} select token, df, round(idf, 6) as idf from idf"
 CHECKS["vector_norm"] = f"with corpus as {CORPUS}, {WEIGHTS} select path, round(norm, 6) as norm from norms"
+CHECKS["vector_norm_self"] = f"""
+with corpus as (select path, name from {inventory_sql('inv_parts')} p),
+tokens as (select path, unnest({TOKENS}) as token from corpus),
+tf as (select path, token, count(*) as tf from tokens group by path, token),
+idf as (select token, ln((select count(*) from corpus) / count(*)) as idf from tf group by token),
+norms as (select path, sqrt(sum((tf * idf) ** 2)) as norm from tf join idf using (token) group by path)
+select path, round(norm, 6) as norm from norms cross join (values (1), (2)) side(s)"""
 CHECKS["token_union"] = r"""
 select p_partkey, array_to_string(list_sort(list_distinct(
   regexp_extract_all(lower(concat(p_name, ' ', p_brand, ' x')), '[a-z]+|\d+'))), ' ') as tokens
@@ -417,3 +456,62 @@ select file1_path as full_path_1, {readable('file1_size')} as size_1,
   printf('%.1f%%', confidence * 100) as confidence, reasons as reason
 from ({matches(LEFT, RIGHT, 0.7, digits=15)}) m"""
 CHECKS["match_counts"] = f"select reasons, count(*) as matches from ({matches(LEFT, RIGHT, 0.7)}) m group by reasons"
+
+
+def ratios(pairs: str) -> str:
+    """CTEs that end in ``ratios``: the sequence similarity ``sim`` of pairs ``a, b`` below 200 characters.
+
+    The longest common block, of equal ones the leftmost in a, then in b, splits
+    a pair of stretches in two; sizes of blocks add up.
+    """
+    return f"""
+pairs as (select row_number() over () as id, a, b, length(a) as la, length(b) as lb from ({pairs}) p),
+lefts as (select id, unnest(range(la)) as i, unnest(string_split(a, '')) as c from pairs where la > 0),
+rights as (select id, unnest(range(lb)) as j, unnest(string_split(b, '')) as c from pairs where lb > 0),
+hits as (select l.id, i, j - i as d from lefts l join rights r on r.id = l.id and r.c = l.c),
+runs as (
+  select id, d, min(i) as low, max(i) + 1 as high
+  from (select *, i - row_number() over (partition by id, d order by i) as run from hits) h group by id, d, run),
+stretches as (
+  select id, 0::bigint as alo, la::bigint as ahi, 0::bigint as blo, lb::bigint as bhi, 0::bigint as size from pairs
+  union all
+  select id, unnest([alo, best.i + best.n]), unnest([best.i, ahi]), unnest([blo, best.j + best.n]), unnest([best.j, bhi]), unnest([best.n, 0])
+  from (
+    select id, alo, ahi, blo, bhi, struct_pack(n := best.n, i := -best.i, j := -best.j) as best from (
+      select id, alo, ahi, blo, bhi, max(struct_pack(n := e - s, i := -s, j := -s - d)) as best from (
+        select t.*, d, greatest(low, alo, blo - d) as s, least(high, ahi, bhi - d) as e
+        from stretches t join runs using (id)) clipped
+      where e > s group by id, alo, ahi, blo, bhi) found) b),
+ratios as (
+  select any_value(a) as a, any_value(b) as b, case when any_value(la + lb) = 0 then 1.0 else 2.0::double * sum(size) / any_value(la + lb) end as sim
+  from stretches join pairs using (id) group by id)"""
+
+
+def sequence_matches(left: str, right: str, threshold: float) -> str:
+    """Matches by sequence similarity; pairs with too few characters in common are not scored."""
+    return f"""
+with recursive l as (select *, lower({ext('name')}) as extension, lower({stem('name')}) as k from {left} a),
+r as (select *, lower({ext('name')}) as extension, lower({stem('name')}) as k from {right} b),
+counts as (
+  select k, c, count(*) as n from (select k, unnest(string_split(k, '')) as c from (select k from l union select k from r) n) s group by k, c),
+candidates as (
+  select p.a, p.b from (select distinct l.k as a, r.k as b from l join r using (extension)) p
+  join counts x on x.k = p.a join counts y on y.k = p.b and y.c = x.c
+  where 2 * least(length(p.a), length(p.b)) >= {threshold} * (length(p.a) + length(p.b))
+  group by p.a, p.b having 2 * sum(least(x.n, y.n)) >= {threshold} * (length(p.a) + length(p.b))),
+{ratios('select * from candidates')},
+scored as (
+  select l.name as file1_name, l.path as file1_path, l.relative_path as file1_relative_path, l.size as file1_size,
+    r.name as file2_name, r.path as file2_path, r.relative_path as file2_relative_path, r.size as file2_size, sim,
+    case when l.size = r.size then 1.0 else least(l.size, r.size)::double / greatest(l.size, r.size)::double end as size_sim
+  from l join r using (extension) join ratios on l.k = a and r.k = b)
+select * exclude (sim, size_sim), round(sim, 6) as name_similarity, round(size_sim, 6) as size_similarity,
+  round(sim * 0.6::double + size_sim * 0.4::double, 6) as confidence, {reasons('sim', 'size_sim')} as reasons
+from scored where sim >= {threshold}::double"""
+
+
+CHECKS["find_duplicates_sequence_strict"] = sequence_matches(LEFT, RIGHT, 0.9)
+CHECKS["name_similarity"] = f"""
+with recursive {ratios("select distinct lower(p_name) as a, lower(concat(p_type, ' ', p_brand)) as b from part")}
+select p_partkey, round(sim, 6) as name_similarity
+from part join ratios on a = lower(p_name) and b = lower(concat(p_type, ' ', p_brand))"""

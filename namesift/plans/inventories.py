@@ -73,6 +73,15 @@ select file_id, name, concat('/closed/', name) as path, name as relative_path, s
     concat('closed ', lower(o_orderpriority), '_', cast(o_orderkey as varchar(20)), '.C', cast(o_custkey as varchar(20))) as name,
     cast(floor(o_totalprice) as bigint) as size
   from {orders} where o_orderstatus <> 'O') files""",
+    # Numbered files, ten to a chain of renames, and a file that stays for each chain.
+    "inv_numbered": """
+select file_id, parent, name, concat(parent, name) as path, size from (
+  select p_partkey as file_id, concat('/n/', cast(cast(floor(p_partkey / 10) as bigint) % 3 as varchar(9)), '/') as parent,
+    concat('part ', cast(p_partkey as varchar(20)), '.txt') as name, cast(p_size as bigint) as size
+  from {part}
+  union all
+  select p_partkey, concat('/n/', cast(cast(floor(p_partkey / 10) as bigint) % 3 as varchar(9)), '/'), concat('kept ', cast(p_partkey as varchar(20)), '.txt'), 0
+  from {part} where p_partkey % 10 = 0) files""",
     # Nested paths: by host, and by language.
     "inv_pages": f"""
 select page_id as file_id, concat('/web/', {_PAGE_PATH}) as path,
@@ -94,6 +103,18 @@ select doc_id as file_id,
 from {documents}""",
 }
 
+#: New names for numbered files: chains that end free, at a file that stays, in a
+#: cycle, or at a name that differs in case only.
+RENUMBERED = f"""
+select parent, name as original, case
+    when file_id % 10 = 9 and series % 4 = 0 then concat('part ', cast(file_id - 9 as varchar(20)), '.txt')
+    when file_id % 10 = 9 and series % 4 = 1 then concat('part ', cast(file_id as varchar(20)), ' last.txt')
+    when file_id % 10 = 9 and series % 4 = 2 then concat('kept ', cast(file_id - 9 as varchar(20)), '.txt')
+    when file_id % 10 = 9 or (file_id % 10 = 4 and series % 5 = 0) then concat('PART ', cast(file_id as varchar(20)), '.txt')
+    else concat('part ', cast(file_id + 1 as varchar(20)), '.txt') end as new_name
+from (select *, cast(floor(file_id / 10) as bigint) as series from ({INVENTORIES["inv_numbered"]}) numbered) files
+where name like 'part %'"""
+
 TABLES = ("orders", "part", "pages", "documents")
 
 
@@ -104,6 +125,11 @@ def inventory(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes ``RENUMBERED`` of the inventory ``inv_numbered``."""
+    return spark.sql(RENUMBERED, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 def inventory_sql(name: str) -> str:
     """The same inventory as a parenthesized query over plain table names."""
     return "(" + INVENTORIES[name].format(**{t: t for t in TABLES}) + ")"

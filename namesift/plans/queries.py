@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from .. import functions as fn
 from ..functions import dates
 from ..functions.scores import confidence
 from ..operators import clean, folders, match, preview, rename, vectors
+from ..operators.stored import shared_folder
 from ..sources.inventory import scan_table, with_path_parts
-from .inventories import inventory
+from .inventories import inventory, renumbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -175,6 +177,21 @@ def rename_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename.rename_errors(rename_plan(spark, sf_dir))
 
 
+@query
+def rename_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan, written twice and read back; the second write adds nothing."""
+    plan = rename_plan(spark, sf_dir)
+    path = f"{shared_folder(spark)}/namesift-plans-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rename.write_plan(plan, path)
+    return rename.read_plans(spark, path).select(*plan.columns)
+
+
+@query
+def rename_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rename.rename_steps(renumbered(spark, sf_dir), inventory(spark, sf_dir, "inv_numbered"))
+
+
 # Inventories
 @query
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +257,14 @@ def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("norm", F.round("norm", 6))
 
 
+@query
+def vector_norm_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides are one inventory, so each path is there twice."""
+    files = inventory(spark, sf_dir, "inv_parts").select("path", "name")
+    out = vectors.vector_norms(files.unionAll(files), ["path"])
+    return out.withColumn("norm", F.round("norm", 6))
+
+
 @query
 def token_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

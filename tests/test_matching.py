@@ -5,10 +5,12 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from namesift import functions as fn
+from namesift.functions import scores
 from namesift.operators import candidates, skew, vectors
 from namesift.operators.match import MATCH_COLUMNS, find_duplicates, match_report
 
@@ -190,3 +192,62 @@ def test_term_tables(spark):
 def test_candidates_carry_no_files_of_the_other_side(spark):
     groups = spark.createDataFrame([(".t", "a b", 1, 0), (".t", "a c", 1, 0)], "extension string, key string, left_files int, right_files int")
     assert candidates.cosine_pairs(vectors.unit_vectors(groups), 0.1).count() == 0
+
+
+def test_norms_of_repeated_paths(spark):
+    rows = [("/a/x", "alpha one.txt"), ("/a/x", "alpha one.txt"), ("/a/y", "beta"), ("/b/z", "one two"), ("/b/n", None), ("/b/e", "---")]
+    files = spark.createDataFrame(rows, "path string, name string")
+    found = sorted((r.path, round(r.norm, 9)) for r in vectors.vector_norms(files, ["path"]).collect())
+    idf = {t: math.log(6 / sum(t in tokens(n or "") for _, n in rows)) for t in ("alpha", "one", "beta", "two")}
+    want = sorted((p, round(math.sqrt(sum(idf[t] ** 2 for t in tokens(n or ""))), 9)) for p, n in rows)
+    assert found == want
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            here = row[j + 1]
+            row[j + 1] = before + 1 if x == y else max(here, row[j])
+            before = here
+    return row[-1]
+
+
+def test_common_subsequence_of_all_lengths():
+    rng = random.Random(7)
+    draw = lambda: "".join(rng.choice("abé照😀") for _ in range(rng.choice([0, 1, 9, 63, 64, 65, 128, 150])))
+    lefts, rights = [draw() for _ in range(200)], [draw() + "z" for _ in range(200)]
+    found = scores.common_subsequence(pa.array(lefts), pa.array(rights))
+    assert found.tolist() == [longest_common(a, b) for a, b in zip(lefts, rights, strict=True)]
+
+
+def test_subsequence_tables_stay_small(monkeypatch):
+    lefts, rights = [f"{i:03}x" for i in range(300)], [f"{i:03}" for i in range(300)]
+    want = scores.common_subsequence(pa.array(lefts), pa.array(rights)).tolist()
+    monkeypatch.setattr(scores, "MOST_WORDS", 100)
+    assert scores.common_subsequence(pa.array(lefts), pa.array(rights)).tolist() == want == [3] * 300
+
+
+def test_each_pair_meets_once(spark, monkeypatch):
+    groups = spark.createDataFrame([(".txt", f"name {i % 7} {i}", i % 2, 1 - i % 2) for i in range(40)], "extension string, key string, left_files int, right_files int")
+    for rows in (2000, 3):
+        monkeypatch.setattr(candidates, "split_join", lambda *a, _n=rows, **kw: skew.split_join(*a, **kw, min_rows=_n))
+        pairs = candidates._sequence_candidates(groups, 0.1).select("left_key", "right_key").collect()
+        assert len(pairs) == len(set(pairs)) == 400
+
+
+def test_files_of_a_hot_name_are_cut_by_their_pairs(spark, monkeypatch):
+    cells = []
+    original = skew.split_join
+    monkeypatch.setattr(skew, "spread_rows", lambda rows, by, _f=skew.spread_rows: cells.append((rows, by)) or _f(rows, by))
+    from namesift.operators import match
+
+    monkeypatch.setattr(match, "split_join", lambda *a, **kw: original(*a, **kw, min_rows=20))
+    left = [("same name.txt", i) for i in range(200)] + [("other one.txt", 1)]
+    right = [(f"same name {chr(97 + i)}.txt", i) for i in range(26)] + [("unlike.txt", 5)]
+    assert found_by(spark, left, right, 0.5, False) == brute_force(left, right, 0.5, False)
+    cut = [(rows, by) for rows, by in cells if "_lshare" in by]  # the others are of the search for pairs
+    assert cut
+    for rows, by in cut:
+        assert max(r["count"] for r in rows.groupBy(*by).count().collect()) <= 60

@@ -4,9 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from namesift.operators import folders, rename
+from namesift.operators import folders, rename, skew
 from namesift.operators.ordering import with_sorted_index
 from namesift.operators.preview import preview_changes, preview_summary, preview_table
+from namesift.sources import directory
 from namesift.sources.directory import scan_inventory, scan_names
 from namesift.sources.inventory import scan_table, with_path_parts
 from namesift.streaming.preview import write_changes
@@ -55,6 +56,37 @@ def test_directory_scan(spark, tree):
     assert scan_inventory(spark, str(tree / "missing")).count() == 0
 
 
+def test_only_tasks_open_folders(spark, tree, monkeypatch):
+    opened = []
+    scandir = os.scandir
+    monkeypatch.setattr(directory.os, "scandir", lambda path: opened.append(path) or scandir(path))
+    assert scan_inventory(spark, str(tree)).count() == 7
+    assert scan_names(spark, str(tree)).count() == 4
+    assert not opened  # by this process, the driver
+
+
+def test_folders_larger_than_a_batch(tmp_path, monkeypatch):
+    monkeypatch.setattr(directory, "BATCH_ENTRIES", 7)
+    for i in range(30):
+        (tmp_path / f"f{i}").touch()
+    batches = list(directory.list_folder(str(tmp_path)))
+    assert [b.num_rows for b in batches] == [7, 7, 7, 7, 2]
+    assert list(directory.list_folder(str(tmp_path / "missing"))) == []
+
+
+def test_deep_and_wide_trees(spark, tmp_path):
+    deep = tmp_path.joinpath(*"abcdefgh")
+    deep.mkdir(parents=True)
+    for i in range(8):
+        tmp_path.joinpath(*"abcdefgh"[: i + 1], "file").touch()
+    for i in range(60):
+        (tmp_path / f"w{i}").mkdir()
+        (tmp_path / f"w{i}" / f"x{i}").touch()
+    want = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()}
+    assert {r.relative_path for r in scan_inventory(spark, str(tmp_path)).collect()} == want
+    assert len(want) == 68
+
+
 def test_preview_changes(spark, tree):
     changes = preview_changes(scan_names(spark, str(tree)), SPACES).collect()
     assert [tuple(r) for r in changes] == [("a b.txt", "a_b.txt", str(tree / "a b.txt"))]
@@ -126,6 +158,98 @@ def test_plan_is_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "plan")).first()["status"] == "ok"
 
 
+def test_writing_a_plan_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "plans")
+    files = inventory(spark, [f"/d/{i}" for i in range(9)])
+    table = lambda n: spark.createDataFrame([(str(i), f"n{i}", f"/d/{i}") for i in range(n)], "original string, new_name string, path string")
+    one, two = (rename.rename_plan(table(n), files) for n in (5, 9))
+    first = rename.write_plan(one, path)
+    assert rename.write_plan(one.repartition(3), path) == first
+    os.remove(tmp_path / "plans" / f"plan={first}" / "_SUCCESS")  # as if the writer had been stopped
+    assert rename.write_plan(one, path) == first != rename.write_plan(two, path)
+    found = rename.read_plans(spark, path)
+    assert {(r.plan == first, r["count"]) for r in found.groupBy("plan").count().collect()} == {(True, 5), (False, 9)}
+    assert sorted(os.listdir(path)) == sorted(f"plan={p.plan}" for p in found.select("plan").distinct().collect())
+
+
+def carried_out(names, steps):
+    """The names after the steps, each of which must find its file and not overwrite another."""
+    now = {n: n for n in names}  # name now by name at first
+    for step in sorted({s for s, _, _ in steps}):
+        moving = {a: b for s, a, b in steps if s == step}
+        assert len(moving) == sum(s == step for s, _, _ in steps)
+        there = {n: first for first, n in now.items()}
+        for a, b in moving.items():
+            assert a in there and (b not in there), (step, a, b)
+        now = {first: moving.get(n, n) for first, n in now.items()}
+        assert len(set(now.values())) == len(now)
+    return now
+
+
+def moved(spark, names, changes):
+    files = inventory(spark, [f"/d/{n}" for n in names])
+    table = spark.createDataFrame([(a, b, f"/d/{a}") for a, b in changes], "original string, new_name string, path string")
+    rows = rename.rename_steps(table, files).collect()
+    assert {r.parent for r in rows} <= {"/d/"}
+    return carried_out(names, [(r.step, r.from_name, r.to_name) for r in rows])
+
+
+def test_steps_of_chains_cycles_and_cases(spark):
+    names = ["a", "b", "c", "x", "y", "z", "one", "two", "case", "Q", "q", "stays", "to stay", "waits", "p1", "p2", "odd"]
+    changes = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "x"), ("one", "two"), ("two", "one"), ("case", "CASE"), ("Q", "q"),
+               ("q", "Q"), ("to stay", "stays"), ("waits", "to stay"), ("p1", "new"), ("p2", "new"), ("gone", "g"), ("odd", ""), ("odd", "a/b"), ("stays", "stays")]
+    now = moved(spark, names, changes)
+    want = dict(changes[:11]) | {"p1": "new"}
+    assert {a: b for a, b in now.items() if a != b} == want
+
+
+def test_steps_of_random_changes(spark):
+    rng = random.Random(8)
+    for size in (12, 80):
+        names = [f"n{i}" for i in range(size)]
+        targets = rng.sample([f"n{i}" for i in range(size + size // 4)], size)
+        changes = [(a, b) for a, b in zip(names, targets, strict=True) if rng.random() < 0.9]
+        now = moved(spark, names, changes)
+        wanted = {a: b for a, b in changes if a != b}
+        left = {a for a in wanted if now[a] != wanted[a]}
+        stay = set(names) - set(wanted) | left
+        # What is left waits for a file that stays.
+        assert all(wanted[a] in stay for a in left)
+        assert all(now[a] == a for a in stay)
+
+
+def test_steps_of_one_long_chain(spark):
+    names = [f"n{i:03}" for i in range(300)]
+    now = moved(spark, names, [(a, f"n{int(a[1:]) + 1:03}") for a in names])
+    assert now == {a: f"n{int(a[1:]) + 1:03}" for a in names}
+    ring = moved(spark, names, [(a, f"n{(int(a[1:]) + 7) % 300:03}") for a in names])
+    assert ring == {a: f"n{(int(a[1:]) + 7) % 300:03}" for a in names}
+    assert moved(spark, ["a"], []) == {"a": "a"}
+
+
+def test_selection_of_a_name_that_many_files_share(spark, monkeypatch):
+    from namesift.operators import preview
+
+    spread = []
+    original = skew.split_lookup
+
+    def low(*args, **kw):
+        out = original(*args, **kw, min_rows=5)
+        spread.append(kw["how"])
+        return out
+
+    for module in (rename, preview):
+        monkeypatch.setattr(module, "split_lookup", low)
+    files = inventory(spark, [f"/d{i}/same name" for i in range(60)] + ["/e/b c", "/e/x y", "/e/z"])
+    changes = preview_changes(files, SPACES)
+    selection = spark.createDataFrame([("same name",), ("same name",), ("b c",), ("none",), (None,)], "name string")
+    chosen = rename.apply_selection(changes, selection)
+    assert sorted(r.path for r in chosen.collect()) == sorted([f"/d{i}/same name" for i in range(60)] + ["/e/b c"])
+    table = preview_table(files, SPACES, selection)
+    assert tuple(preview_summary(table).first()) == (63, 62, 61, 61)
+    assert spread == ["left_semi", "left"]
+
+
 def test_child_folders(spark):
     files = inventory(spark, [f"/r/f{i:02}/x" for i in range(25)] + ["/r/top", "/q/z/x"])
     assert [tuple(r) for r in folders.child_folders(files, "/r").collect()] == [(f"f{i:02}", 0) for i in range(25)]

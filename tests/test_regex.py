@@ -10,7 +10,7 @@ from namesift.operators.clean import RegexReplace
 
 NAMES = [
     "room12-b7.csv", "aa--bb{1}{2}.md", "ab cd.txt", "o'clock x9y", "x  <1>  <copy>", "zz top.pdf", "été ΑΒΓ-٢٥",
-    "a\nb\n", "$1 \\ {x}", "😀a😀", "", "naïve café", "A_b-C.d", "aa bb aa", "foo bar\x1fx",
+    "a\nb\n", "$1 \\ {x}", "😀a😀", "😀😀b𝒳", "", "naïve café", "A_b-C.d", "aa bb aa", "foo bar\x1fx",
 ]
 
 # A case for each feature of the dialect.
@@ -24,6 +24,9 @@ PATTERNS = [
     (r"(?:a|b)++", "p"), (r"\Aa|b\Z", "e"), (r"(a)(b)", r"\3"), (r"a", r"\q"), (r"a", r"\g<name>"), (r"(é)", r"\g<0>\060"),
     ("(open", "x"), ("[z-a]", ""), (r"(?P<n>a)(?P=n)", r"\g<n>"), (r"(?a)\w", "w"), (r"(?x) a b # c", "x"),
     (r"\d*", "~"), (r"a??", "="), (r"(?=a)", "^"), (r"\B", "_"), (r"(?:b|)", "o"),
+    (r"a?b?", "+"), (r"(?:|a)", "+"), (r"(?:x*|b)", "+"), (r"(a|b*)*", "+"), (r"(?>a*)", "+"), (r"(?:a*)++", "+"), (r"a*?b?", "+"),
+    (r"(a)?(b)?", r"<\2>"), (r"(?i)B*", "+"), (r"(?m)$", ";"), (r"[^a]*", "+"), (r"(?<=😀)", "+"), ("😀*", "+"), (r"(?<!a)", "+"),
+    (r"(a??)(b*)", "+"), (r"(?=(a)?)", "+"), (r"\b|a", "+"), (r"(?:a|\b)", "+"), ("", "+"),
 ]
 
 
@@ -89,6 +92,10 @@ def test_native_where_possible():
     assert compile_pattern(r"([a-z]+)=(.+)").java is not None
     assert compile_pattern("$").java is not None
     assert compile_pattern(r"(a)?(?(1)b|c)").java is None
+    for pattern in ("[0-9]*", "x*", r"\b", "(?=a)", "(a)?(b)?", "(?m)^", ""):
+        assert compile_pattern(pattern).java is not None
+    for pattern in ("a??", "(?:|a)", "(?:x*|b)"):
+        assert compile_pattern(pattern).java is None
 
 
 def test_validation():
