@@ -510,6 +510,7 @@ select * exclude (sim, size_sim), round(sim, 6) as name_similarity, round(size_s
 from scored where sim >= {threshold}::double"""
 
 
+CHECKS["find_duplicates_sequence"] = sequence_matches(LEFT, RIGHT, 0.7)
 CHECKS["find_duplicates_sequence_strict"] = sequence_matches(LEFT, RIGHT, 0.9)
 CHECKS["name_similarity"] = f"""
 with recursive {ratios("select distinct lower(p_name) as a, lower(concat(p_type, ' ', p_brand)) as b from part")}
