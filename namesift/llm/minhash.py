@@ -11,8 +11,10 @@ Bands may hold very many near copies. Their pairs are never all formed: in each
 round a node is compared with one other of its buckets, the links found so far
 are contracted to components, and only buckets with several components go on.
 First that other is the one that shares most bands, which in a group of copies
-is the one most like all others. After ``ROUNDS`` such rounds the pairs that are
-still open are compared block by block, so that no candidate is left out.
+is the one most like all others. After ``ROUNDS`` such rounds, the nodes of
+buckets that are still open are described by how they differ from one of them,
+and only those whose differences have enough in common are compared (see
+``_Crowds``). That bound is exact, so no candidate is left out.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import split_join, split_lookup
 from ..operators.stored import stored
 from .common import U64, bytes_of, mixed, slices, text_rows, windows_in_texts, words_of
 from .graph import components
-from .streams import runs
 
 WORDS = 5
 #: The chance that a pair just at the threshold agrees on no band.
@@ -53,9 +55,9 @@ def bands_for(percent: int) -> tuple[int, int]:
 LENGTH = bands_for(85)[0] * bands_for(85)[1]
 #: Values compared at a time, and the chance of pruning a pair that is a link.
 BATCH, MISS = 25, 1e-9
-ROUNDS = 4
-#: Members of a block in the last comparison.
-BLOCK = 256
+ROUNDS = 2
+#: Nodes of each side of an entry that meet in one task.
+BLOCK = 2000
 
 
 def _odd(count: int) -> np.ndarray:
@@ -257,49 +259,79 @@ class _Search:
         return named.join(mixed_ones.select("band"), "band")
 
 
-def _meet(least: list[int], percent: int):
-    """Survivors among pairs of a bucket's block and a block of its smaller components, in different components."""
-    length = len(least) - 1
+class _Crowds:
+    """Open nodes that reach each other by open buckets, as differences from a set that is typical of them.
 
-    def meet(batches):
-        for group in runs(batches, ["band", "block", "other"]):
-            node, component, size, minor = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "minor"))
-            signature = _signatures(group.column("signature"), length)
-            rest = np.flatnonzero(~minor)
-            for i in np.flatnonzero(minor):
-                small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
-                others = rest[(component[rest] != component[i]) & (100 * small >= percent * large)]
-                if others.size:
-                    kept = others[survivors(np.broadcast_to(signature[i], (len(others), length)), signature[others], least)]
-                    if kept.size:
-                        yield pa.record_batch([np.minimum(node[i], node[kept]), np.maximum(node[i], node[kept])], ["a", "b"])
-
-    return meet
-
-
-def _all_open_pairs(search: _Search, members: DataFrame) -> DataFrame:
-    """Every pair of a bucket in different components that the signatures don't rule out.
-
-    The members of a bucket's largest component need not meet each other, so the
-    others, which are few by now, are compared with all. Both are cut into
-    blocks by a hash of the node, and two blocks at a time meet in one group, so
-    that a large bucket is many bounded groups.
+    The pivot of a crowd is the set of the node that shares most bands. With dA
+    as the shingles in either A or the pivot but not in both, what differs
+    between A and C is |dA| + |dC| - 2 |dA & dC|. At a similarity of p percent
+    no more than (100 - p) / (100 + p) of |A| + |C| shingles may differ, so with
+    ``excess`` = (100 + p) |dA| - (100 - p) |A|, the differences of a link have
+    (excess of A + excess of C) / (2 (100 + p)) entries in common at least.
+    What all of a crowd have in common plays no part in this.
     """
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("_n"))
-    largest = sizes.groupBy("band").agg(
-        F.max_by("component", F.struct("_n", "component")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_rest")
-    )
-    cut = members.join(largest, "band").join(search.signed.select("node", "n_shingles", "signature"), "node").select(
-        "band", "node", "component", "n_shingles", "signature", (F.col("component") != F.col("_largest")).alias("_minor"),
-        F.ceil(F.col("members") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_rest") / BLOCK).cast("int").alias("_others"),
-    )
-    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    keys, values = ["band", "block", "other"], ["node", "component", "n_shingles", "signature"]
-    everyone = cut.select("band", own("_blocks").alias("block"), each("_others").alias("other"), F.lit(False).alias("minor"), *values)
-    minors = cut.filter("_minor").select("band", each("_blocks").alias("block"), own("_others").alias("other"), F.lit(True).alias("minor"), *values)
-    grouped = everyone.union(minors).repartition(*keys).sortWithinPartitions(*keys)
-    return grouped.mapInArrow(_meet(search.least, search.percent), "a long, b long").distinct()
+
+    def __init__(self, search: _Search, members: DataFrame):
+        self.percent = search.percent
+        self.whole, self.less = 100 + search.percent, 100 - search.percent
+        first = members.groupBy("band").agg(F.min("node").alias("v"))
+        edges = members.join(first, "band").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+        named = components(edges).select(F.col("u").alias("node"), F.col("v").alias("_crowd"))
+        nodes = members.select("node").distinct().join(named, "node", "left").withColumn("crowd", F.coalesce("_crowd", "node")).drop("_crowd")
+        nodes = stored(nodes.join(search.signed.select("node", "weight").distinct(), "node"))
+        # An id with several texts is one node with several sets.
+        sets = nodes.join(search.sets, "node").withColumn("form", F.xxhash64("shingles"))
+        pivots = nodes.groupBy("crowd").agg(F.max_by("node", F.struct("weight", "node")).alias("node"))
+        forms = pivots.join(search.sets, "node").groupBy("crowd").agg(F.min(F.struct("node", "shingles")).alias("one"))
+        pivot = stored(forms.select("crowd", F.col("one.node").alias("pivot"), F.col("one.shingles").alias("_pivot")))
+        differs = F.concat(F.array_except("shingles", "_pivot"), F.array_except("_pivot", "shingles"))
+        apart = sets.join(pivot, "crowd").select("crowd", "pivot", "node", "form", F.size("shingles").cast("long").alias("n"), F.size("_pivot").cast("long").alias("np"), differs.alias("differs"))
+        self.nodes = stored(apart.withColumn("m", F.size("differs").cast("long")).withColumn("excess", self.whole * F.col("m") - self.less * F.col("n")))
+
+    def certain(self) -> DataFrame:
+        """Links ``u, v`` that sizes alone decide: to the pivot, and to the crowd's node with the smallest excess.
+
+        Two nodes whose excesses add up to 0 at most are linked, and then both
+        are linked to that node.
+        """
+        to_pivot = self.nodes.filter(self.whole * F.col("m") <= self.less * (F.col("n") + F.col("np")))
+        least = self.nodes.groupBy("crowd").agg(F.min(F.struct("excess", "node")).alias("least"))
+        to_least = self.nodes.join(least, "crowd").filter(F.col("excess") + F.col("least.excess") <= 0)
+        return to_pivot.select(F.col("node").alias("u"), F.col("pivot").alias("v")).union(to_least.select(F.col("node").alias("u"), F.col("least.node").alias("v"))).filter("u != v").distinct()
+
+    def pairs(self, stars: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` in different components whose differences may have enough entries in common.
+
+        Entries are ordered from rare to common within the crowd. Two lists with
+        c entries in common share one of the first size - c + 1 of each, and at
+        the first shared place both have c entries left.
+        """
+        named = self.nodes.drop("np").join(stars.select(F.col("u").alias("node"), F.col("v").alias("_c")), "node", "left")
+        named = stored(named.withColumn("component", F.coalesce("_c", "node")).drop("_c"))
+        # The pivot's own pairs are decided, and its empty difference tells nothing of the others.
+        rest = named.filter("m > 0")
+        crowds = rest.groupBy("crowd").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.min("excess").alias("lowest")).filter("_a != _b")
+        rest = stored(rest.join(crowds.select("crowd", "lowest"), "crowd"))
+        entries = rest.select("crowd", "node", "form", F.explode("differs").alias("entry"))
+        counts = stored(entries.groupBy("crowd", "entry").agg(F.count("*").alias("held")).filter("held > 1"))
+        held = split_lookup(entries, counts, ["crowd", "entry"], counts, "held", ["node"])
+        shared = held.groupBy("node", "form").agg(F.sort_array(F.collect_list(F.struct("held", "entry"))).alias("shared"))
+        # A partner has at least the crowd's lowest excess, and at least as many differences as
+        # the triangle of both sets and the pivot asks for.
+        bound = F.greatest(F.col("lowest"), F.col("excess") - F.ceil(200 * self.less * F.col("n") / self.percent))
+        needed = F.greatest(F.lit(1), F.ceil((F.col("excess") + bound) / (2 * self.whole)))
+        own = F.col("m") - F.size("shared")  # entries that no other node has come first
+        leading = F.greatest(F.lit(0), F.col("m") - needed + 1 - own).cast("int")
+        postings = stored(rest.join(shared, ["node", "form"]).select(
+            "crowd", "node", "component", "n", "excess", "m", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), leading)).alias("at", "of"),
+        ).select("crowd", "node", "component", "n", "excess", (F.col("m") - F.col("own") - F.col("at")).alias("left"), F.col("of.entry").alias("entry")))
+        a, b = (postings.select("crowd", "entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "excess", "left")]) for x in "ab")
+        both = split_join(a, b, ["crowd", "entry"], ["node_a"], ["node_b"], BLOCK)
+        possible = (
+            (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_allow(F.col("n_a"), F.col("n_b"), self.percent)
+            & (2 * self.whole * F.least("left_a", "left_b") >= F.col("excess_a") + F.col("excess_b"))
+        )
+        return both.filter(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -326,11 +358,15 @@ def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str) ->
         members = stored(search.open_buckets(stars))
         if members.isEmpty():
             break
-        pairs = search.one_each(members, turn) if turn < ROUNDS else _all_open_pairs(search, members)
+        if turn < ROUNDS:
+            pairs = search.one_each(members, turn)
+        else:
+            crowds = _Crowds(search, members)
+            stars = components(stars.union(crowds.certain()))
+            pairs = crowds.pairs(stars)
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = search.links(pairs) if turn < ROUNDS else search.confirmed(pairs)
         tested = tested.union(pairs)
-        stars = components(stars.union(found))
+        stars = components(stars.union(search.links(pairs)))
     known = search.nodes.select("h1", "h2", "n_shingles", "node")
     rows = search.profile.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2", "n_shingles"], "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))

@@ -85,6 +85,44 @@ def test_open_pairs_meet_in_blocks(spark, monkeypatch):
     assert found == brute.near_duplicates(rows)
 
 
+@pytest.mark.parametrize("own", [2, 6])
+def test_crowds_of_near_copies_leave_few_pairs(spark, monkeypatch, own):
+    r = random.Random(own)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(400):
+        words = list(base)
+        for at in r.sample(range(100), own):
+            words[at] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    left = []
+    pairs = minhash._Crowds.pairs
+    monkeypatch.setattr(minhash._Crowds, "pairs", lambda *a: left.append(pairs(*a)) or left[-1])
+    found = collected(minhash.near_duplicates(table(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert found == brute.near_duplicates(rows)
+    assert left and left[-1].count() < 0.1 * 400 * 399 / 2
+
+
+def test_pivot_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in r.sample(range(60), i % 5):
+            words[at] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(words))
+    rows = [(i // 2 if i < 20 else i, t) for i, t in enumerate(texts)]  # ids 0 to 9 have two texts
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(brute.shingles(t))
+    linked = lambda a, b: any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b])
+    for a in sets:
+        for b in sets:
+            assert not linked(a, b) or found[a] == found[b]
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = minhash.least_agreements(85)
     assert least[0] == 0 and all(a <= b for a, b in zip(least, least[1:], strict=False))
