@@ -12,7 +12,9 @@ suffix array (:mod:`gsaca`) puts equal stretches side by side.
 A bucket with more than ``BUCKET`` different pieces is cut in four by how far
 from the anchor its stretches begin, and each part by the longer substring its
 stretches have in common, as often as needed; at the last level a bucket is a
-single stretch. So no bucket is large and no occurrence is left out.
+single stretch. So no bucket is large and no occurrence is left out. All this
+works on different pieces; how often and where each occurs is looked up once, in
+the end.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.stored import stored
+from ..operators.stored import release, stored
 from .common import Rolling, U64, bytes_of, mixed, slices, text_rows
 from .gsaca import suffix_arrays
 
 LENGTH, GRAM = 50, 20
 #: Offsets that an anchor can have in a stretch.
 OFFSETS = LENGTH - GRAM + 1
-#: Different pieces that one suffix array takes, and up to which its string is short.
-BUCKET, FEW = 16, 3
+#: Different pieces that one suffix array takes, and up to which numbers its string is of similar length.
+BUCKET, FEW = 64, (3, 16)
 #: Bytes of pieces worked on at a time.
 BATCH_BYTES = 2 << 20
 
@@ -159,7 +161,8 @@ def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A piece without others has no suffixes to compare: all its stretches are in its documents.
         piece, begin, end, least = [np.flatnonzero(alone)], [np.zeros(int(alone.sum()), np.int64)], [np.diff(bounds)[alone] - LENGTH + 1], [lows[alone]]
         # Strings of similar length take their turns together.
-        for chosen in (np.flatnonzero((count > 1) & (count <= FEW)), np.flatnonzero(count > FEW)):
+        for low, high in zip((1, *FEW), (*FEW, len(count)), strict=True):
+            chosen = np.flatnonzero((count > low) & (count <= high))
             if not chosen.size:
                 continue
             sizes = np.diff(bounds)[chosen]
@@ -180,10 +183,11 @@ def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("key").take(at), part.column("digest").take(at), pa.array(begin), pa.array(end), pa.array(least)], ["key", "digest", "begin", "end", "least"])
 
 
-def _quartered(occurrences: DataFrame) -> DataFrame:
-    """The stretches in four parts, by how far before the anchor they begin, with keys of their longer common part.
+def _quartered(pieces: DataFrame) -> DataFrame:
+    """The stretches of each piece in four parts, by how far before the anchor they begin, with keys of their longer common part.
 
-    ``low`` to ``high - 1`` bytes before the anchor begin the stretches of a bucket.
+    ``low`` to ``high - 1`` bytes before the anchor begin the stretches of a
+    bucket. ``whole, of, offset`` tell which piece a part is from, and where.
     """
     edges = [(F.col("low") + F.floor((F.col("high") - F.col("low")) * i / 4)).cast("int") for i in range(5)]
     stretches = F.octet_length("piece") - (LENGTH - 1)
@@ -191,37 +195,69 @@ def _quartered(occurrences: DataFrame) -> DataFrame:
     for low, high in zip(edges, edges[1:], strict=False):
         begin = F.greatest(F.lit(0), F.col("reach") - high + 1)
         count = F.least(stretches, F.col("reach") - low + 1) - begin
-        cut = occurrences.select("key", "doc", "class", "start", "reach", "piece", begin.alias("begin"), count.alias("count"), low.alias("low"), high.alias("high")).filter("count > 0 and high > low")
+        cut = pieces.select("key", "digest", "first", "last", "reach", "piece", begin.alias("begin"), count.alias("count"), low.alias("low"), high.alias("high")).filter("count > 0 and high > low")
         common = F.expr(f"substring(piece, reach - low + 1, {LENGTH + 1} - high + low)")
         parts.append(cut.select(
-            F.xxhash64("key", "low", "high", common).alias("key"), "doc", "class", (F.col("start") + F.col("begin")).alias("start"),
-            (F.col("reach") - F.col("begin")).alias("reach"), F.expr(f"substring(piece, begin + 1, count + {LENGTH - 1})").alias("piece"), "low", "high",
+            F.col("key").alias("whole"), F.col("digest").alias("of"), F.col("begin").cast("long").alias("offset"),
+            F.xxhash64("key", "low", "high", common).alias("key"), F.expr(f"substring(piece, begin + 1, count + {LENGTH - 1})").alias("piece"),
+            "first", "last", (F.col("reach") - F.col("begin")).alias("reach"), "low", "high",
         ))
     return reduce(DataFrame.union, parts)
 
 
-def repeated_stretches(occurrences: DataFrame) -> DataFrame:
-    """``doc, class, begin, end``: bytes of a document in stretches that an earlier one holds.
+def _distinct(pieces: DataFrame) -> DataFrame:
+    """Each different piece of a bucket once, with its smallest and largest document."""
+    return stored(pieces.groupBy("key", "piece").agg(
+        F.xxhash64("piece").alias("digest"), F.min("first").alias("first"), F.max("last").alias("last"),
+        *[F.min(c).alias(c) for c in ("reach", "low", "high")],
+    ))
+
+
+RANGES = "key long, digest long, begin long, end long, least long"
 
-    Each turn solves the buckets that are small enough and quarters the others,
-    which with ``OFFSETS`` places for the anchor ends after three turns more.
+
+def ranges(pieces: DataFrame) -> DataFrame:
+    """``key, digest, begin, end, least``: stretches of a different piece, and the smallest document that holds them.
+
+    Only those that some document with the piece has to give up. A bucket of one
+    piece has all its stretches in that piece's documents, small buckets are
+    solved, and large ones are quartered: their parts, each different one once,
+    are buckets of their own, whose ranges are then put back at their places.
+    With ``OFFSETS`` places for the anchor that ends after three turns.
     """
-    digest, found = F.xxhash64("piece"), None
-    rest = occurrences.withColumns({"low": F.lit(0), "high": F.lit(OFFSETS)})
-    while True:
-        different = stored(rest.groupBy("key", "piece").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
-        large = stored(different.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BUCKET).select("key"))
-        done = large.isEmpty()
-        small = different if done else different.join(large, "key", "left_anti")
-        grouped = small.select("key", digest.alias("digest"), "piece", "first", "last").repartition("key").sortWithinPartitions("key")
-        earlier = stored(grouped.mapInArrow(_solve, "key long, digest long, begin long, end long, least long"))
-        here = rest.select("key", "doc", "class", "start", digest.alias("digest")).join(earlier, ["key", "digest"]).filter("least < doc").select(
-            "doc", "class", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end") + (LENGTH - 1)).alias("end")
-        )
-        found = here if found is None else found.union(here)
-        if done:
-            return found
-        rest = stored(_quartered(stored(rest.join(large, "key", "left_semi"))))
+    counts = stored(pieces.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("digest").alias("digest"), F.min("first").alias("least"), F.max("last").alias("last"), F.max(F.octet_length("piece")).alias("bytes"),
+    ))
+    alone = counts.filter("n = 1 and least < last").select(
+        "key", "digest", F.lit(0).cast("long").alias("begin"), (F.col("bytes") - (LENGTH - 1)).cast("long").alias("end"), "least"
+    )
+    several = stored(pieces.join(counts.filter("n > 1").select("key", "n"), "key"))
+    small = several.filter(F.col("n") <= BUCKET).select("key", "digest", "piece", "first", "last")
+    solved = small.repartition("key").sortWithinPartitions("key").mapInArrow(_solve, RANGES)
+    large = several.filter(F.col("n") > BUCKET)
+    if large.isEmpty():
+        found = stored(alone.union(solved))
+        release(pieces, counts, several)
+        return found
+    parts = stored(_quartered(large))
+    below = ranges(_distinct(parts))
+    places = parts.select("key", F.xxhash64("piece").alias("digest"), "whole", "of", "offset", "last")
+    back = below.join(places, ["key", "digest"]).filter("least < last").select(
+        F.col("whole").alias("key"), F.col("of").alias("digest"), (F.col("offset") + F.col("begin")).alias("begin"), (F.col("offset") + F.col("end")).alias("end"), "least"
+    )
+    found = stored(alone.union(solved).union(back))
+    release(pieces, counts, several, parts, below)
+    return found
+
+
+def repeated_stretches(occurrences: DataFrame) -> DataFrame:
+    """``doc, class, begin, end``: bytes of a document in stretches that an earlier one holds."""
+    at_once = occurrences.select("key", "piece", F.col("doc").alias("first"), F.col("doc").alias("last"), "reach", F.lit(0).alias("low"), F.lit(OFFSETS).alias("high"))
+    found = ranges(_distinct(at_once))
+    places = occurrences.select("key", F.xxhash64("piece").alias("digest"), "doc", "class", "start")
+    return places.join(found, ["key", "digest"]).filter("least < doc").select(
+        "doc", "class", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end") + (LENGTH - 1)).alias("end")
+    )
 
 
 def _kept(text: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
@@ -277,15 +313,18 @@ def _with_spans(rows: DataFrame) -> DataFrame:
     long_rows = rows.filter(F.octet_length("text") >= LENGTH)
     # Equal texts are one: its first document is looked at, the others go whole.
     firsts = stored(long_rows.groupBy("class", "class2").agg(F.min("doc").alias("first")))
-    anchors = long_rows.select("class", "text").mapInArrow(_anchors, "anchor long, class long")
+    anchors = stored(long_rows.select("class", "text").mapInArrow(_anchors, "anchor long, class long"))
     several = stored(anchors.groupBy("anchor").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a != _b").select("anchor"))
     shared = stored(anchors.join(several, "anchor", "left_semi").groupBy("class").agg(F.collect_set("anchor").alias("anchors")))
+    release(anchors, several)
     wanted = firsts.join(shared, "class").select(F.col("first").alias("doc"), "class", "class2", "anchors")
     once = long_rows.select("doc", "class", "class2", "text").join(wanted, ["doc", "class", "class2"])
     occurrences = stored(once.select("doc", "class", "text", "anchors").mapInArrow(_pieces, OCCURRENCES))
+    release(shared)
     spans = stored(
         repeated_stretches(occurrences).groupBy("doc", "class").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     )
+    release(occurrences)
     later = long_rows.select("doc", "class", "class2").join(firsts, ["class", "class2"]).filter("doc > first")
     copies = stored(later.select("doc", "class", F.lit(True).alias("copy")).distinct())
     marked = rows.join(spans, ["doc", "class"], "left").join(copies, ["doc", "class"], "left")
