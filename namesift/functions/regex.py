@@ -271,26 +271,70 @@ def _convert_case(span: Column) -> Column:
     return F.when(kind == "U", F.upper(text)).when(kind == "L", F.lower(text)).otherwise(title_case(text))
 
 
+# What a converted group's text may hold where it has backslashes: once inserted it
+# is read as a template without groups.
+_GOOD_TEXT = r"(?s)\A(?:[^\\]++|\\(?:0|[1-3][0-7]{2}|[abfnrtv\\]|[^a-zA-Z0-9]))*+\z"
+_TEXT_PART = r"(?s)\\(?:0[0-7]{0,2}|[1-3][0-7]{2}|.)|[^\\]+"
+
+
+def _expanded_text(text: Column) -> Column:
+    """A group's text with its escapes taken as such; null if one is bad."""
+
+    def part_of(part: Column) -> Column:
+        known = F.substr(part, F.lit(2))
+        out = F.when(~F.startswith(part, F.lit("\\")), part)
+        for letter, char in _TEMPLATE_ESCAPES.items():
+            out = out.when(known == letter, F.lit(char))
+        return out.when(known.rlike("^[0-9]"), F.chr(F.conv(known, 8, 10).cast("int"))).otherwise(part)
+
+    parts = F.transform(F.regexp_extract_all(text, F.lit(_TEXT_PART), F.lit(0)), part_of)
+    return F.when(text.rlike(_GOOD_TEXT), F.array_join(parts, ""))
+
+
 def _sub_with_case(text: Column, java: str, pieces) -> Column:
     # One replacement writes the groups to convert between marks; converting
     # the marked spans afterwards needs no second matching.
-    template = ""
-    for kind, value in pieces:
-        if kind == "text":
-            template += _escape(value)
-        elif kind == "plain":
-            template += f"${value}"
-        else:
-            template += f"{MARK}{kind}${value}{MARK}"
-    marked = F.regexp_replace(text, java, template)
-    return F.when(F.contains(marked, F.lit(MARK)), convert_marked(marked, _convert_case)).otherwise(marked)
+    def template(mark_all: bool) -> str:
+        out = ""
+        for kind, value in pieces:
+            if kind == "text":
+                out += _escape(value)
+            elif kind == "plain" and not mark_all:
+                out += f"${value}"
+            else:
+                out += f"{MARK}{kind[0]}${value}{MARK}"
+        return out
+
+    marked = F.regexp_replace(text, java, template(False))
+    plain = F.when(F.contains(marked, F.lit(MARK)), convert_marked(marked, _convert_case)).otherwise(marked)
+
+    def converted(span: Column, i: Column) -> Column:
+        cased = F.when(F.startswith(span, F.lit("p")), F.substr(span, F.lit(2))).otherwise(_convert_case(span))
+        return F.when(i % 2 == 0, span).otherwise(_expanded_text(cased))
+
+    spans = F.transform(F.split(F.regexp_replace(text, java, template(True)), MARK, -1), converted)
+    # A bad escape leaves the name as it is.
+    escaped = F.when(F.exists(spans, lambda s: s.isNull()), text).otherwise(F.array_join(spans, ""))
+    return F.when(F.contains(text, F.lit("\\")), escaped).otherwise(plain)
 
 
 def _expand_case(match: re.Match, pieces) -> str:
     convert = {"U": str.upper, "L": str.lower, "T": str.title, "plain": str}
-    return "".join(
-        value if kind == "text" else convert[kind](match[int(value)] or "") for kind, value in pieces
-    )
+
+    def text_of(kind: str, value: str) -> str:
+        text = convert[kind](match[int(value)] or "")
+        return re.sub("x", text, "x") if "\\" in text else text
+
+    return "".join(value if kind == "text" else text_of(kind, value) for kind, value in pieces)
+
+
+def _substituted(compiled: re.Pattern, replacement, value: str) -> str:
+    if isinstance(replacement, str):
+        return compiled.sub(replacement, value)
+    try:
+        return compiled.sub(lambda m: _expand_case(m, replacement), value)
+    except (re.error, IndexError):
+        return value
 
 
 def _sub_in_python(text: Column, pattern: re.Pattern, replacement) -> Column:
@@ -299,11 +343,7 @@ def _sub_in_python(text: Column, pattern: re.Pattern, replacement) -> Column:
     @F.pandas_udf("string")
     def substitute(values: pd.Series) -> pd.Series:
         compiled = re.compile(source, flags)
-        if isinstance(replacement, str):
-            return values.map(lambda v: compiled.sub(replacement, v), na_action="ignore")
-        return values.map(
-            lambda v: compiled.sub(lambda m: _expand_case(m, replacement), v), na_action="ignore"
-        )
+        return values.map(lambda v: _substituted(compiled, replacement, v), na_action="ignore")
 
     return substitute(text)
 
@@ -314,7 +354,10 @@ def regex_replace(
     r"""Replace all matches of a Python pattern in the stem or the whole name.
 
     The replacement may refer to groups as ``\1``, ``\g<1>`` and ``\g<name>``,
-    or change their case: ``\U\1`` upper, ``\L\1`` lower, ``\T\1`` title.
+    or change their case: ``\U\1`` upper, ``\L\1`` lower, ``\T\1`` title. In
+    templates with case changes, escapes in a group's own text count as such once
+    it is inserted, and a bad one leaves the name as it is; a reference that they
+    make up is not followed.
     """
     compiled = compile_pattern(pattern)
     if compiled is None:

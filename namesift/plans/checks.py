@@ -329,6 +329,8 @@ CHECKS["scan_inventory"] = parts("inv_pages_by_language", "/web/en", "path like
 CHECKS["scan_names"] = parts(
     "inv_pages_by_language", "/web/en", "path like '/web/en/%' and path not like '/web/en/%/%'"
 )
+CHECKS["scan_tree"] = """
+select distinct concat('p_brand=', replace(p_brand, '#', '%23'), '/class=', p_size % 3) as folder, 1 as files from part"""
 CHECKS["child_folders"] = f"""
 select distinct split_part(path, '/', 3) as folder, 0 as more_folders
 from {inventory_sql('inv_pages')} f where path like '/web/%/%'"""
@@ -487,6 +489,11 @@ ratios as (
   from stretches join pairs using (id) group by id)"""
 
 
+def half_up(value: str) -> str:
+    """Six decimals, ties of the decimal value upwards."""
+    return f"round(cast({value} as decimal(20, 12)), 6)::double"
+
+
 def sequence_matches(left: str, right: str, threshold: float) -> str:
     """Matches by sequence similarity; pairs with too few characters in common are not scored."""
     return f"""
@@ -505,8 +512,8 @@ scored as (
     r.name as file2_name, r.path as file2_path, r.relative_path as file2_relative_path, r.size as file2_size, sim,
     case when l.size = r.size then 1.0 else least(l.size, r.size)::double / greatest(l.size, r.size)::double end as size_sim
   from l join r using (extension) join ratios on l.k = a and r.k = b)
-select * exclude (sim, size_sim), round(sim, 6) as name_similarity, round(size_sim, 6) as size_similarity,
-  round(sim * 0.6::double + size_sim * 0.4::double, 6) as confidence, {reasons('sim', 'size_sim')} as reasons
+select * exclude (sim, size_sim), {half_up('sim')} as name_similarity, {half_up('size_sim')} as size_similarity,
+  {half_up('sim * 0.6::double + size_sim * 0.4::double')} as confidence, {reasons('sim', 'size_sim')} as reasons
 from scored where sim >= {threshold}::double"""
 
 

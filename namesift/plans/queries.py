@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from ..functions import dates
 from ..functions.scores import confidence
 from ..operators import clean, folders, match, preview, rename, vectors
 from ..operators.stored import shared_folder
+from ..sources.directory import scan_inventory as scan_directory
 from ..sources.inventory import scan_table, with_path_parts
 from .inventories import inventory, renumbered
 
@@ -208,6 +210,17 @@ def scan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_table(inventory(spark, sf_dir, "inv_pages_by_language"), "/web/en", include_subdirs=False)
 
 
+@query
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data files per folder of a real tree, as Spark writes it: a folder for each brand and class of sizes."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", F.expr("p_size % 3").alias("class"))
+    path = f"{shared_folder(spark)}/namesift-tree-{uuid.uuid4().hex}"
+    part.repartition("p_brand", "class").write.partitionBy("p_brand", "class").parquet(path)
+    files = scan_directory(spark, re.sub("^file:/*", "/", path)).filter("extension = '.parquet'")
+    folder = F.regexp_extract("relative_path", "^(.*)/", 1).alias("folder")
+    return files.groupBy(folder).agg(F.count("*").alias("files"))
+
+
 @query
 def child_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.child_folders(inventory(spark, sf_dir, "inv_pages"), "/web")

@@ -54,18 +54,23 @@ def cased(name, pattern, replacement):
                 out += part[0]
             else:
                 text = match[int(group)] or ""
-                out += {"U": text.upper(), "L": text.lower(), "T": text.title(), None: text}[part[1]]
+                text = {"U": text.upper(), "L": text.lower(), "T": text.title(), None: text}[part[1]]
+                out += re.sub("once", text, "once") if "\\" in text else text  # the text is a template again
             i += part.end()
         return out
-    return re.sub(pattern, one, name)
+    try:
+        return re.sub(pattern, one, name)
+    except re.error:
+        return name
 
 
 @pytest.mark.parametrize("pattern, replacement", [
     (r"(\w+)", r"\U\1"), (r"(\w+)", r"\L\1"), (r"([\w' ]+)", r"\T\1"), (r"(\w+)", r"\U\10"), (r"(a)|(b)", r"\U\1-\2\L\2"),
     (r"(\w)(\w)", r"\2\U\1$\9\\"), (r"\w+", r"\U\0"), (r"(x*)", r"<\U\1>"), (r"(\w+)", r"\T\U\1"),
+    (r"(\S+)", r"\L\1"), (r"(\S+) ?(.*)", r"\U\1+\2"), (r"([\\\w]+)", r"<\1\T\1>"), (r"(.+)", r"\U\1"), (r"(\\?.??)", r"\L\1"),
 ])
 def test_case_templates(apply, pattern, replacement):
-    names = [n for n in NAMES if "\\" not in n]
+    names = NAMES + [r"a\nb c", r"tab\t end", r"\x bad", r"one\ two", "end\\", r"\60 \101 \7", r"a\-b", r"\0 z", r"A\NB", r"two\\ of them", "a\\é b"]
     got = apply(lambda n: fn.regex_replace(n, pattern, replacement, preserve_extension=False), names)
     assert got == [cased(n, pattern, replacement) for n in names]
 
