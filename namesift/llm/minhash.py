@@ -11,8 +11,7 @@ Bands may hold very many near copies. Their pairs are never all formed: in each
 round a node is compared with one other of its buckets, the links found so far
 are contracted to components, and only buckets with several components go on.
 First that other is the one that shares most bands, which in a group of copies
-is the one most like all others. After ``ROUNDS`` such rounds, the nodes of
-buckets that are still open are described by how they differ from one of them,
+is the one most like all others. After ``ROUNDS`` of these, the nodes of buckets that are still open are described by how they differ from one of them,
 and only those whose differences have enough in common are compared (see
 ``_Crowds``). That bound is exact, so no candidate is left out.
 """
@@ -55,7 +54,7 @@ def bands_for(percent: int) -> tuple[int, int]:
 LENGTH = bands_for(85)[0] * bands_for(85)[1]
 #: Values compared at a time, and the chance of pruning a pair that is a link.
 BATCH, MISS = 25, 1e-9
-ROUNDS = 2
+ROUNDS = 1
 #: Nodes of each side of an entry that meet in one task.
 BLOCK = 2000
 
@@ -286,7 +285,11 @@ class _Crowds:
         pivot = stored(forms.select("crowd", F.col("one.node").alias("pivot"), F.col("one.shingles").alias("_pivot")))
         differs = F.concat(F.array_except("shingles", "_pivot"), F.array_except("_pivot", "shingles"))
         apart = sets.join(pivot, "crowd").select("crowd", "pivot", "node", "form", F.size("shingles").cast("long").alias("n"), F.size("_pivot").cast("long").alias("np"), differs.alias("differs"))
-        self.nodes = stored(apart.withColumn("m", F.size("differs").cast("long")).withColumn("excess", self.whole * F.col("m") - self.less * F.col("n")))
+        apart = stored(apart.withColumn("m", F.size("differs").cast("long")).withColumn("excess", self.whole * F.col("m") - self.less * F.col("n")))
+        least = apart.groupBy("crowd").agg(F.min(F.struct("excess", "node")).alias("least"))
+        self.nodes = apart.join(least, "crowd").withColumns({
+            "to_pivot": self.whole * F.col("m") <= self.less * (F.col("n") + F.col("np")), "to_least": F.col("excess") + F.col("least.excess") <= 0,
+        })
 
     def certain(self) -> DataFrame:
         """Links ``u, v`` that sizes alone decide: to the pivot, and to the crowd's node with the smallest excess.
@@ -294,23 +297,26 @@ class _Crowds:
         Two nodes whose excesses add up to 0 at most are linked, and then both
         are linked to that node.
         """
-        to_pivot = self.nodes.filter(self.whole * F.col("m") <= self.less * (F.col("n") + F.col("np")))
-        least = self.nodes.groupBy("crowd").agg(F.min(F.struct("excess", "node")).alias("least"))
-        to_least = self.nodes.join(least, "crowd").filter(F.col("excess") + F.col("least.excess") <= 0)
-        return to_pivot.select(F.col("node").alias("u"), F.col("pivot").alias("v")).union(to_least.select(F.col("node").alias("u"), F.col("least.node").alias("v"))).filter("u != v").distinct()
+        to_pivot = self.nodes.filter("to_pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+        to_least = self.nodes.filter("to_least").select(F.col("node").alias("u"), F.col("least.node").alias("v"))
+        return to_pivot.union(to_least).filter("u != v").distinct()
 
     def pairs(self, stars: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` in different components whose differences may have enough entries in common.
+        """Pairs ``a, b`` that neither components nor certain links put together and whose differences may have enough entries in common.
 
         Entries are ordered from rare to common within the crowd. Two lists with
         c entries in common share one of the first size - c + 1 of each, and at
         the first shared place both have c entries left.
         """
-        named = self.nodes.drop("np").join(stars.select(F.col("u").alias("node"), F.col("v").alias("_c")), "node", "left")
+        hub = F.when(F.col("to_pivot"), F.col("pivot")).when(F.col("to_least"), F.col("least.node")).otherwise(F.xxhash64(F.lit(3), "node", "form")).alias("hub")
+        nodes = self.nodes.select("crowd", "node", "form", "n", "m", "excess", "differs", hub)
+        named = nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("_c")), "node", "left")
         named = stored(named.withColumn("component", F.coalesce("_c", "node")).drop("_c"))
         # The pivot's own pairs are decided, and its empty difference tells nothing of the others.
         rest = named.filter("m > 0")
-        crowds = rest.groupBy("crowd").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.min("excess").alias("lowest")).filter("_a != _b")
+        crowds = rest.groupBy("crowd").agg(
+            *[f(c).alias(f"{name}_{c}") for c in ("component", "hub") for f, name in ((F.min, "least"), (F.max, "most"))], F.min("excess").alias("lowest")
+        ).filter("least_component != most_component and least_hub != most_hub")
         rest = stored(rest.join(crowds.select("crowd", "lowest"), "crowd"))
         entries = rest.select("crowd", "node", "form", F.explode("differs").alias("entry"))
         counts = stored(entries.groupBy("crowd", "entry").agg(F.count("*").alias("held")).filter("held > 1"))
@@ -323,12 +329,12 @@ class _Crowds:
         own = F.col("m") - F.size("shared")  # entries that no other node has come first
         leading = F.greatest(F.lit(0), F.col("m") - needed + 1 - own).cast("int")
         postings = stored(rest.join(shared, ["node", "form"]).select(
-            "crowd", "node", "component", "n", "excess", "m", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), leading)).alias("at", "of"),
-        ).select("crowd", "node", "component", "n", "excess", (F.col("m") - F.col("own") - F.col("at")).alias("left"), F.col("of.entry").alias("entry")))
-        a, b = (postings.select("crowd", "entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "excess", "left")]) for x in "ab")
+            "crowd", "node", "component", "hub", "n", "excess", "m", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), leading)).alias("at", "of"),
+        ).select("crowd", "node", "component", "hub", "n", "excess", (F.col("m") - F.col("own") - F.col("at")).alias("left"), F.col("of.entry").alias("entry")))
+        a, b = (postings.select("crowd", "entry", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "hub", "n", "excess", "left")]) for x in "ab")
         both = split_join(a, b, ["crowd", "entry"], ["node_a"], ["node_b"], BLOCK)
         possible = (
-            (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _sizes_allow(F.col("n_a"), F.col("n_b"), self.percent)
+            (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("hub_a") != F.col("hub_b")) & _sizes_allow(F.col("n_a"), F.col("n_b"), self.percent)
             & (2 * self.whole * F.least("left_a", "left_b") >= F.col("excess_a") + F.col("excess_b"))
         )
         return both.filter(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
@@ -362,8 +368,8 @@ def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str) ->
             pairs = search.one_each(members, turn)
         else:
             crowds = _Crowds(search, members)
-            stars = components(stars.union(crowds.certain()))
             pairs = crowds.pairs(stars)
+            stars = stars.union(crowds.certain())
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         stars = components(stars.union(search.links(pairs)))
