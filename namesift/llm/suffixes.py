@@ -37,7 +37,7 @@ LENGTH, GRAM = 50, 20
 #: Offsets that an anchor can have in a stretch.
 OFFSETS = LENGTH - GRAM + 1
 #: Different pieces that one suffix array takes, and up to which numbers its string is of similar length.
-BUCKET, FEW = 64, (3, 16)
+BUCKET, FEW = 16, (3,)
 #: Bytes of pieces worked on at a time.
 BATCH_BYTES = 2 << 20
 
