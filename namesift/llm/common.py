@@ -6,9 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.stored import stored
+
 #: Text is worked on in slices of about so many bytes, so that memory follows
 #: the slice (or the one longest text), not the size of an Arrow batch.
 SLICE_BYTES = 2 << 20
@@ -35,6 +37,32 @@ def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a range gets about, beyond the session's number of partitions.
+ROWS_PER_RANGE = 1_000_000
+
+
+def ranged(rows: DataFrame, order: list[str], rows_each: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows in order, each with its ``range`` and a number ``at`` that ascends by one within it.
+
+    ``rows`` should come from a table: they are counted, sampled and read.
+    """
+    count = max(partitions_of(rows), rows.count() // rows_each + 1)
+    spread = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    numbered = stored(spread.withColumn("at", F.monotonically_increasing_id()))
+    return numbered.withColumn("range", F.shiftright("at", 33))
+
+
+def range_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key and range: its rows, its first ``at``, and as ``before`` the key's rows in the ranges before.
+
+    A row is then number ``before + at - first`` of its key, if the order begins
+    with the keys. There are no more rows than ranges and keys together.
+    """
+    counts = rows.groupBy(*keys, "range").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about ``limit`` bytes or are one text."""
     for batch in batches:

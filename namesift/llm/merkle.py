@@ -15,17 +15,15 @@ joined to paths by number, one to one, and no group of rows is larger than
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stored import stored
-from .common import partitions_of
+from .common import range_starts, ranged
 
 #: Levels that a block covers, and the nodes that it takes.
 LEVELS = 8
 SIZE = 1 << LEVELS
-#: Rows that a range gets about, beyond the session's number of partitions.
-ROWS_PER_RANGE = 1_000_000
 HEX = 64
 
 
@@ -61,21 +59,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The rows in order, each with its ``range`` and a number ``at`` that ascends by one within it."""
-    ranges = max(partitions_of(rows), rows.count() // ROWS_PER_RANGE + 1)
-    spread = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    numbered = stored(spread.withColumn("at", F.monotonically_increasing_id()))
-    return numbered.withColumn("range", F.shiftright("at", 33))
-
-
-def _starts(ranged: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key and range: its rows, its first ``at``, and the key's rows in the ranges before."""
-    counts = ranged.groupBy(*keys, "range").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
-    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-
-
 def _guarded(count: Column) -> Column:
     """The numbers 1 to ``count``, none for 0."""
     return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.expr("cast(array() as array<int>)"))
@@ -192,17 +175,17 @@ def manifest(docs: DataFrame) -> DataFrame:
     rows (``is_tampered``) is made with ``n_chars`` one larger; it then differs
     from the root. No rows in, no rows out. Other columns are not read.
     """
-    rows = _ranged(stored(leaves(docs)), ["key", "doc_id", "leaf"])
-    starts = stored(_starts(rows, ["key"]))
-    groups = _ranged(stored(starts.groupBy("key").agg(F.sum("rows").alias("count"))), ["key"])
+    rows = ranged(stored(leaves(docs)), ["key", "doc_id", "leaf"])
+    first_places = stored(range_starts(rows, ["key"]))
+    groups = ranged(stored(first_places.groupBy("key").agg(F.sum("rows").alias("count"))), ["key"])
     most, count = groups.agg(F.max("count"), F.count("*")).first()
     if not count:
         return rows.sparkSession.createDataFrame([], RESULT)
 
-    before = _starts(groups, []).select("range", "first", "before")
+    before = range_starts(groups, []).select("range", "first", "before")
     rank = (F.col("before") + F.col("at") - F.col("first")).alias("rank")
     ranks = stored(groups.select("key", "count", "range", "at").join(before, "range").select("key", "count", rank))
-    known = starts.join(ranks, "key").select("key", "range", "first", "before", "rank", "count")
+    known = first_places.join(ranks, "key").select("key", "range", "first", "before", "rank", "count")
     nodes = rows.join(known, ["key", "range"]).select(
         "rank", (F.col("before") + F.col("at") - F.col("first")).alias("place"), F.col("leaf").alias("node"), "doc_id", "start", "count",
     )

@@ -14,17 +14,17 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
-from .exact import range_of
+from ..operators.stored import stored
+from .common import range_starts, ranged, text_rows
 
 #: Fixed values of the published method.
 MULTIPLIER, MODULUS, SHIFT, TOP = 2862933555777941757, 1 << 64, 1 << 33, 1 << 31
 
-#: Rows that one task numbers.
-ROWS_PER_TASK = 20_000
+#: Rows that one task numbers about, beyond the session's number of partitions.
+ROWS_PER_TASK = 1_000_000
 
 
 def jump(key: Column, shards: int) -> Column:
@@ -54,15 +54,6 @@ def jump(key: Column, shards: int) -> Column:
     )
 
 
-def _id_ranges(rows: DataFrame, parts: int) -> list[tuple[str, int]]:
-    """Ids that cut the rows into about equal ranges."""
-    if parts < 2:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] or []
-    return [("", k) for k in sorted(set(cuts))]
-
-
 def shard_rows(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row with its shard and its slot there, by law ``key``.
 
@@ -72,28 +63,18 @@ def shard_rows(docs: DataFrame, shards: int, id_column: str = "doc_id", text_col
     without gaps, in the order of their ids, null ids first; equal rows get
     neighbouring slots. No rows in, no rows out.
 
-    Slots are not counted over a whole shard in one task: a shard is cut into
-    ranges of ids, the ranges are counted, and each is numbered from the sum of
-    the counts before it.
+    Slots are not counted over a whole shard in one task: the rows are sorted
+    into ranges, numbered inside them, and moved up by the shard's rows in the
+    ranges before. The plan doesn't grow with the table.
     """
     rows = text_rows(docs, id_column, text_column)
-    parts = -(-rows.count() // (shards * ROWS_PER_TASK))
-    key = F.coalesce("doc_id", F.lit(-1))
-    part = range_of(F.lit(""), F.coalesce("doc_id", F.lit(-(1 << 63))), _id_ranges(rows, parts))
-    placed = rows.select("doc_id", "text", jump(key, shards).alias("_to"), part.alias("_part"))
-    counts = placed.groupBy("_to.shard", "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    sized = placed.select(
+    placed = rows.select(
         "doc_id", F.octet_length("text").cast("long").alias("_bytes"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
-        F.col("_to.shard").alias("shard"), F.col("_to.grown").alias("grown_shard"), "_part",
-    )
-    within = Window.partitionBy("shard", "_part").orderBy("doc_id", "_bytes", "text_crc32")
-    return (
-        sized.withColumn("_slot", F.row_number().over(within) - 1)
-        .join(offsets, ["shard", "_part"])
-        .select(
-            "doc_id", (F.col("_bytes") + 8).alias("size"), "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("_slot") + F.col("_before")).cast("long").alias("slot"), "grown_shard",
-        )
+        jump(F.coalesce("doc_id", F.lit(-1)), shards).alias("_to"),
+    ).select("doc_id", "_bytes", "text_crc32", "_to.shard", F.col("_to.grown").alias("grown_shard"))
+    numbered = ranged(stored(placed), ["shard", "doc_id", "_bytes", "text_crc32"], ROWS_PER_TASK)
+    starts = range_starts(numbered, ["shard"]).drop("rows")
+    return numbered.join(starts, ["shard", "range"]).select(
+        "doc_id", (F.col("_bytes") + 8).alias("size"), "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("before") + F.col("at") - F.col("first")).cast("long").alias("slot"), "grown_shard",
     )
