@@ -4,12 +4,16 @@ Documents are routed to tiers, the powers of two up to the context size. Whole
 windows of the context size are cut off first; what is left of a document goes
 to the smallest tier that holds it. A tier's windows begin with a remainder of
 their own, and their gaps are filled from shorter tiers, cut to fit. All windows
-are full, so that only the last sequence of a task is padded. Windows of one
-tier are put into step groups of equal numbers of tokens within a task, except
-its last group of each tier.
+are full, so that only the last sequence of a task is padded.
+
+Windows of one tier are put into step groups of equal numbers of tokens, over
+all tasks: a task numbers its windows, and a task's numbers go on from the counts
+of the tasks before it, with the padded windows after all others. So only the
+last group of a tier is short.
 
 Each task packs the documents it reads as they come, holding what waits for a
-window; nothing is shuffled.
+window. No text and no piece is shuffled for it; the pieces, without ids, are a
+written table that the counts are joined to.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..operators.stored import stored
 from .bpe import encoded_slices
 from .common import text_rows
 
@@ -38,8 +44,15 @@ PIECES = (
 )
 
 
+#: What a task tells of a piece: its window's number in the task and tier, and whether the window is padded.
+NUMBERED = PIECES + ", window long, padded boolean"
+
+
 class _Packer:
-    """The windows of one task. Pieces are (document row, first id, ids)."""
+    """The windows of one task. Pieces are (document row, first id, ids).
+
+    Step groups here are the task's own.
+    """
 
     def __init__(self, task: int):
         self.task, self.sequences = task, 0
@@ -48,13 +61,14 @@ class _Packer:
         self.windows = dict.fromkeys(TIERS, 0)
         self.out: list[tuple] = []
 
-    def emit(self, tier: int, pieces: list[tuple]) -> None:
+    def emit(self, tier: int, pieces: list[tuple], padded: bool = False) -> None:
         sequence = (self.task << 32) + self.sequences
-        group = self.windows[tier] // (STEP_WINDOWS * CONTEXT // tier)
+        window = self.windows[tier]
+        group = window // (STEP_WINDOWS * CONTEXT // tier)
         offset = 0
         for (doc_id, doc_tokens), start, ids in pieces:
             self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, sequence, offset, tier,
-                             (self.task << 32) + group * len(TIERS) + TIERS.index(tier)))
+                             (self.task << 32) + group * len(TIERS) + TIERS.index(tier), 0 if padded else window, padded))
             offset += len(ids)
         self.sequences += 1
         self.windows[tier] += 1
@@ -106,14 +120,14 @@ class _Packer:
                         self.emit(CONTEXT, window)
                         window, space = [], CONTEXT
             if window:
-                self.emit(CONTEXT, window)
+                self.emit(CONTEXT, window, padded=True)
 
     def taken(self) -> pa.RecordBatch:
         out, self.out = self.out, []
-        names = [c.split()[0] for c in PIECES.split(", ")]
-        kinds = [pa.int32() if c.endswith(" int") else pa.int64() for c in PIECES.split(", ")]
+        names, kinds = zip(*(c.split() for c in NUMBERED.split(", ")), strict=True)
+        kinds = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[k] for k in kinds]
         columns = list(zip(*out, strict=True)) or [()] * len(names)
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def _pack(path: str, end_id: int) -> Callable:
@@ -141,4 +155,14 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, id_column: str =
     is its ids and then ``end_id``; a null or empty text is ``end_id`` alone.
     Rows that repeat are packed each. No rows in, no rows out.
     """
-    return text_rows(docs, id_column, text_column).mapInArrow(_pack(path, end_id), PIECES)
+    pieces = stored(text_rows(docs, id_column, text_column).mapInArrow(_pack(path, end_id), NUMBERED))
+    task = F.shiftright("sequence_id", 32).alias("task")
+    counts = pieces.groupBy("tier", "padded", task).agg((F.max("window") + 1).alias("windows"))
+    before = Window.partitionBy("tier").orderBy("padded", "task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("tier", "padded", "task", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("window")
+    each = F.lit(STEP_WINDOWS * CONTEXT) / F.col("tier")
+    of_tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")) - 1
+    group = (F.floor(number / each) * len(TIERS) + of_tier).cast("long")
+    joined = pieces.withColumn("task", task).join(starts, ["tier", "padded", "task"]).withColumn("step_group", group)
+    return joined.select(*[c.split()[0] for c in PIECES.split(", ")])
