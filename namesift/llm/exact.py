@@ -47,12 +47,15 @@ def splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
     return sorted(set(sample[step::step]))
 
 
+def _cut_table(cuts: list[tuple[str, int]]) -> Column:
+    return F.from_json(F.lit(json.dumps([{"h": h, "k": k} for h, k in cuts])), "array<struct<h:string,k:bigint>>")
+
+
 def range_of(head: Column, key: Column, cuts: list[tuple[str, int]]) -> Column:
     """How many splitters are at or below the pair, by binary search."""
     if not cuts:
         return F.lit(0)
-    kind = "array<struct<h:string,k:bigint>>"
-    table = F.from_json(F.lit(json.dumps([{"h": h, "k": k} for h, k in cuts])), kind)
+    table = _cut_table(cuts)
     strides = [1 << b for b in reversed(range(len(cuts).bit_length()))]
 
     def step(at: Column, stride: Column) -> Column:
@@ -63,6 +66,15 @@ def range_of(head: Column, key: Column, cuts: list[tuple[str, int]]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), step)
 
 
+def in_several(head: Column, number: Column, cuts: list[tuple[str, int]]) -> Column:
+    """Whether a splitter at either end of the range has this text beginning, so that equal texts may be in other ranges."""
+    if not cuts:
+        return F.lit(False)
+    table = _cut_table(cuts)
+    ends = [F.when((number + i >= 0), F.get(table, number + i)["h"] == head) for i in (-1, 0)]
+    return F.coalesce(ends[0], F.lit(False)) | F.coalesce(ends[1], F.lit(False))
+
+
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row with the row that stays for its text.
 
@@ -93,12 +105,37 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
 
 
+def _head(text: Column) -> Column:
+    """How the normalised text begins; most texts need not be normalised as a whole for it."""
+    front = normalised(F.left(text, F.lit(8 * HEAD)))
+    return F.substring(F.when(F.length(front) >= HEAD, front).otherwise(normalised(text)), 1, HEAD)
+
+
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, that ``exact_duplicates`` keeps; of equal rows one."""
-    kept = exact_duplicates(docs, id_column, text_column).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
-    text = normalised(F.coalesce(docs[text_column].cast("string"), F.lit("")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"), digest(text).alias("text"))
-    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["text"] == kept["kept_text"])
-    one = Window.partitionBy("id", "text").orderBy(F.lit(0))
-    found = rows.join(kept, same, "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1")
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """The rows, with all their columns, of which ``exact_duplicates`` keeps the id; of equal rows one.
+
+    Rows go through the content sort whole, once, and the first of each run of
+    equal texts is written. Only runs that a splitter cuts are looked at again,
+    by digests. Null ids come last; of rows that repeat an id and a text, those
+    alike but for white space included, the first by its text stays. No rows in,
+    no rows out.
+    """
+    text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text.alias("_text"), _head(text).alias("_head"),
+        F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1)).alias("_id"),
+    )
+    cuts = splitters(rows, 4 * partitions_of(docs))
+    head = F.col("_head")
+    ranged = rows.withColumn("_range", range_of(head, F.col("_id"), cuts)).withColumn("_split", in_several(head, F.col("_range"), cuts))
+    dealt = ranged.select("_row", "_id", "_range", "_split").repartition(partitions_of(docs), "_range")
+    # Normalised only now, so that one text moves and not two.
+    raw = F.coalesce(F.col("_row")[text_column].cast("string"), F.lit(""))
+    order = Window.partitionBy("_range").orderBy("_norm", "_id", "_raw")
+    marked = dealt.withColumns({"_raw": raw, "_norm": normalised(raw)}).withColumn("_before", F.lag("_norm").over(order))
+    new = F.coalesce(F.col("_norm") != F.col("_before"), F.lit(True))
+    firsts = stored(marked.filter(new).select("_row", "_range", "_split", F.when(F.col("_split"), digest(F.col("_norm"))).alias("_digest")))
+    split = firsts.filter("_split")
+    least = split.groupBy("_digest").agg(F.min("_range").alias("_range"))
+    kept = firsts.filter("not _split").select("_row").union(split.join(least, ["_digest", "_range"], "left_semi").select("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
