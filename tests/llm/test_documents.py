@@ -254,6 +254,23 @@ def test_packing(docs, rows):
         assert sum(p.length for p in own) <= packing.CONTEXT
 
 
+def test_step_groups_are_equal_over_tasks(spark):
+    rows = [(i, prose(i, 10 + 40 * (i % 9))) for i in range(300)]
+    pieces = packing.pack_documents(table(spark, rows).repartition(7), PATH).collect()
+    size, of, tiers = Counter(), {}, {}
+    for p in pieces:
+        size[p.sequence_id] += p.length
+        of[p.sequence_id], tiers[p.step_group] = p.step_group, p.tier
+        assert tiers[p.step_group] == p.tier
+    windows = Counter(of.values())
+    for tier in set(tiers.values()):
+        groups = sorted(g for g in tiers if tiers[g] == tier)
+        assert all(windows[g] == packing.STEP_WINDOWS * packing.CONTEXT // tier for g in groups[:-1])
+        padded = [s for s, g in of.items() if tiers[g] == tier and size[s] < tier]
+        assert len(padded) <= (7 if tier == packing.CONTEXT else 0)
+        assert all(of[s] >= of[t] for s in padded for t in of if tiers[of[t]] == tier and size[t] == tier)
+
+
 def test_packing_pads_little():
     r = np.random.default_rng(3)
     packer = packing._Packer(0)

@@ -43,12 +43,35 @@ def test_recall(spark):
     assert hits >= 0.9 * 300
 
 
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 40)
+    monkeypatch.setattr(neighbours, "EPOCHS", 20)
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((300, 12))
+    scanned = {}
+    for n in (600, 6000):
+        x = centres[r.integers(0, 300, n)] + 0.05 * r.standard_normal((n, 12))
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+        search = neighbours.Search(table, 50, "vec_id", "embedding")
+        assert search.index.count() == n
+        scanned[n] = search.scanned()
+        found = {}
+        for row in neighbours.nearest_vectors(table, every=50).collect():
+            found.setdefault(row.query_id, set()).add(row.vec_id)
+        hits = sum(len(found[q] & {v for v, _ in exact_neighbours(np.arange(n), x, q)}) for q in range(0, n, 50))
+        assert hits >= 0.9 * 10 * len(range(0, n, 50))
+    assert search.partitions > 2 * neighbours.PARTITIONS
+    assert scanned[6000] < scanned[600]
+
+
 def test_few_clustered_vectors_give_all_ranks(spark, monkeypatch):
     r = np.random.default_rng(8)
     x = 10 * np.repeat(np.eye(8), 5, axis=0) + 0.01 * r.standard_normal((40, 8))
     fit = neighbours.fit
     monkeypatch.setattr(neighbours, "fit", lambda sample: (fit(sample)[0], 1))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert neighbours.nearest_vectors(table.limit(0)).collect() == []
     found = {}
     for row in neighbours.nearest_vectors(table, every=5).collect():
         found.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
