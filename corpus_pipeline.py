@@ -16,22 +16,38 @@ from namesift.operators.stored import stored
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules, fitted to ``labels``, don't reject."""
+    """Documents that the quality rules, fitted to ``labels``, don't reject.
+
+    Rows that repeat, and rows without id or text, are judged each by their own
+    text; an empty table stays empty.
+    """
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the smallest id."""
+    """One document of each group of texts equal but for white space, that with the smallest id.
+
+    Null texts are empty ones, null ids come last, and of rows that repeat an id
+    and text one stays.
+    """
     return exact.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    return minhash.without_near_copies(docs, 85)
+    """One document of each group of near-duplicates, that with the smallest id.
+
+    Groups are linked at 80 percent of shared five-word shingles. Rows without id
+    and texts without words have no near-duplicates and stay.
+    """
+    return minhash.without_near_copies(docs, 80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one holds; ``n_chars`` follows the text."""
+    """All documents, without passages that an earlier one holds; ``n_chars`` follows the text.
+
+    Rows without id count as last, rows that repeat an id not as earlier than one
+    another.
+    """
     cut = suffixes.without_repeats(docs)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -39,7 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of several lengths."""
+    """The pieces of all documents in sequences of several lengths; a null text is its end mark alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
