@@ -8,6 +8,11 @@ most probable partitions, in double precision. How many partitions that takes is
 measured on sample vectors that the network was not fitted to. A query whose
 partitions hold too few rows is compared with all.
 
+Partitions follow the number of rows. Where ``PARTITIONS`` would be crowded, each
+is cut again, by a graph and a network of its own that a task fits to a bounded
+sample of the partition; a query then goes to the inner partitions whose
+probabilities, the product of both networks', are largest over all of them.
+
 Rows of a partition and the queries that come to it are cut into blocks, and two
 blocks at a time meet in a task, so that neither a crowded partition nor very
 many equal vectors make a large group.
@@ -15,9 +20,11 @@ many equal vectors make a large group.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +37,8 @@ SAMPLE = 6_000
 PARTITIONS, NEIGHBOURS = 16, 10
 #: Share of the neighbours that the probed partitions must hold, on vectors set aside.
 RECALL = 0.95
+#: Rows that a partition holds about, and inner partitions of one at most.
+PART_ROWS, INNER = 4096, 64
 #: Rows and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 1024
 HIDDEN, EPOCHS, RATE = 128, 60, 0.003
@@ -115,47 +124,122 @@ class Router:
                     square[i] += 0.001 * (g * g - square[i])
                     self.weights[i] = self.weights[i] - RATE * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.999**step)) + 1e-8)
 
+    @classmethod
+    def of(cls, scale: float, weights: list[np.ndarray]) -> Router:
+        """A router that was fitted before."""
+        router = cls.__new__(cls)
+        router.scale, router.weights = scale, weights
+        return router
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        w1, b1, w2, b2 = self.weights
+        return np.maximum(x * self.scale @ w1 + b1, 0) @ w2 + b2
+
     def ranked(self, x: np.ndarray) -> np.ndarray:
         """Partition numbers of each row, the most probable first."""
-        w1, b1, w2, b2 = self.weights
-        return np.argsort(-(np.maximum(x * self.scale @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable")
+        return np.argsort(-self.logits(x), axis=1, kind="stable")
 
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """The partition that each row is put into."""
+        return self.ranked(x)[:, 0]
 
-def fit(sample: np.ndarray) -> tuple[Router, int]:
-    """The router and the number of partitions to probe."""
+
+def _logs(router: Router, x: np.ndarray) -> np.ndarray:
+    logits = router.logits(x)
+    logits = logits - logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+class Nested:
+    """Routers of partitions that are cut again, behind the router of the partitions.
+
+    Inner partitions are numbered one partition after another.
+    """
+
+    def __init__(self, outer: Router, inner: dict[int, Router]):
+        self.outer, self.inner = outer, inner
+        sizes = [inner[p].weights[3].size if p in inner else 1 for p in range(PARTITIONS)]
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """Inner partition numbers of each row, the most probable first."""
+        outer = _logs(self.outer, x)
+        columns = [outer[:, [p]] + _logs(self.inner[p], x) if p in self.inner else outer[:, [p]] for p in range(PARTITIONS)]
+        return np.argsort(-np.concatenate(columns, axis=1), axis=1, kind="stable")
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """The most probable inner partition of the most probable partition."""
+        outer = self.outer.placed(x)
+        found = self.first[outer].copy()
+        for p, router in self.inner.items():
+            rows = np.flatnonzero(outer == p)
+            if rows.size:
+                found[rows] += router.placed(x[rows])
+        return found
+
+
+def _distinct(sample: np.ndarray) -> np.ndarray:
     rows = np.unique(sample, axis=0)
-    rows = rows[np.random.default_rng(3).permutation(len(rows))]
-    aside = len(rows) // 6
-    tests, known = rows[:aside], rows[aside:]
+    return rows[np.random.default_rng(3).permutation(len(rows))]
+
+
+def learn(known: np.ndarray, parts: int) -> Router:
+    """A router to ``parts`` partitions of the graph of the nearest neighbours of different rows."""
     links = nearest(known, known, NEIGHBOURS, True)
-    part = cut_graph(links, PARTITIONS)
+    part = cut_graph(links, parts)
     near = np.concatenate((links, np.arange(len(known))[:, None]), axis=1)
-    target = np.zeros((len(known), PARTITIONS))
+    target = np.zeros((len(known), parts))
     np.add.at(target, (np.repeat(np.arange(len(known)), near.shape[1]), part[near].ravel()), 1 / near.shape[1])
-    router = Router(known, target)
-    if not aside:
-        return router, PARTITIONS
-    # Where the index would put the neighbours of the vectors set aside.
-    placed = router.ranked(rows)[:, 0]
-    truth = nearest(tests, rows[aside:], NEIGHBOURS, False)
-    order = router.ranked(tests)
-    place_of = np.argsort(order, axis=1)
-    depth = np.take_along_axis(place_of, placed[aside:][truth], axis=1)
-    probes = 1 + int(np.searchsorted([(depth <= p).mean() for p in range(PARTITIONS)], RECALL))
-    return router, min(probes, PARTITIONS)
+    return Router(known, target)
+
+
+def probes_for(router: Router | Nested, tests: np.ndarray, known: np.ndarray) -> int:
+    """How many partitions to probe, so that they hold ``RECALL`` of the neighbours of ``tests`` among ``known``."""
+    placed = router.placed(known)
+    truth = nearest(tests, known, NEIGHBOURS, False)
+    place_of = np.argsort(router.ranked(tests), axis=1)
+    depth = np.sort(np.take_along_axis(place_of, placed[truth], axis=1).ravel())
+    return 1 + int(depth[min(len(depth) - 1, int(np.ceil(RECALL * len(depth))) - 1)])
+
+
+def fit(sample: np.ndarray) -> tuple[Router, int]:
+    """The router and the number of partitions to probe."""
+    rows = _distinct(sample)
+    aside = len(rows) // 6
+    router = learn(rows[aside:], PARTITIONS)
+    return router, probes_for(router, rows[:aside], rows[aside:]) if aside else PARTITIONS
+
+
+def fit_inside(index: DataFrame, outer: Router, size: int) -> Nested:
+    """Routers for the partitions with more than ``PART_ROWS`` rows, each fitted by a task to about ``SAMPLE`` of them."""
+    counts = index.groupBy("part").agg(F.count("*").alias("rows")).filter(F.col("rows") > PART_ROWS)
+    share = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 30)) < F.col("rows").cast("double") ** -1 * (SAMPLE * float(1 << 30))
+    sample = index.join(F.broadcast(counts), "part").filter(share).select("part", "rows", "vector")
+
+    def learned(frame: pd.DataFrame) -> pd.DataFrame:
+        known = _distinct(np.array(frame["vector"].tolist(), float).reshape(-1, size)[: 2 * SAMPLE])
+        wanted = 1 << int(np.ceil(np.log2(frame["rows"].iloc[0] / PART_ROWS)))
+        parts = min(INNER, wanted, 1 << int(np.log2(max(1, len(known) / 32))))
+        router = learn(known, parts) if parts > 1 else None
+        state = pickle.dumps((router.scale, router.weights)) if router else None
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "router": [state]})
+
+    found = sample.groupBy("part").applyInPandas(learned, "part int, router binary").filter("router is not null").collect()
+    return Nested(outer, {r.part: Router.of(*pickle.loads(r.router)) for r in found})
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _route(router: Router, size: int, probes: int) -> Callable:
-    """Rows with their most probable partitions as a list."""
+def _route(router: Router | Nested, size: int, probes: int) -> Callable:
+    """Rows with their most probable partitions as a list; for one, the partition they are put into."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ranked = router.ranked(_matrix(batch.column("vector"), size))[:, :probes].astype(np.int32)
+                x = _matrix(batch.column("vector"), size)
+                ranked = (router.placed(x)[:, None] if probes == 1 else router.ranked(x)[:, :probes]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ranked) + 1, dtype=np.int32) * probes), pa.array(ranked.ravel()))
                 yield pa.record_batch([batch.column("vec_id"), batch.column("vector"), lists], ["vec_id", "vector", "parts"])
 
@@ -180,6 +264,48 @@ def _rerank(size: int, k: int) -> Callable:
     return run
 
 
+class Search:
+    """The index of a table, the queries with the partitions they are sent to, and what is needed to compare them."""
+
+    def __init__(self, vectors: DataFrame, every: int, id_column: str, vector_column: str):
+        vector = vectors[vector_column].cast("array<double>")
+        rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vector.alias("vector"))
+        finite = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        usable = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
+        sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").collect()
+        sizes = [len(r[0]) for r in sample]
+        self.size = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
+        fitting = np.array([r[0] for r in sample if len(r[0]) == self.size], float).reshape(-1, max(self.size, 1))
+        # Too few different vectors tell no partitions apart: one for all then.
+        self.route, self.probes, self.partitions = None, 1, 1
+        if len(np.unique(fitting, axis=0)) >= 2 * PARTITIONS:
+            self.route, self.probes = fit(fitting)
+            self.partitions = PARTITIONS
+        usable = usable.filter(F.size("vector") == self.size)
+        self.index = stored(self._parts(usable, 1).select("vec_id", "vector", F.col("parts")[0].alias("part")))
+        if self.route is not None and self.index.count() > PARTITIONS * PART_ROWS:
+            nested = fit_inside(self.index, self.route, self.size)
+            if nested.inner:
+                known = _distinct(fitting)
+                aside = len(known) // 6
+                self.route, self.partitions = nested, int(nested.first[-1])
+                self.probes = probes_for(nested, known[:aside], known[aside:])
+                self.index = stored(self._parts(self.index.select("vec_id", "vector"), 1).select("vec_id", "vector", F.col("parts")[0].alias("part")))
+        queries = usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+        self.asked = stored(self._parts(queries, self.probes).select("vec_id", "vector", F.explode("parts").alias("part")))
+
+    def _parts(self, table: DataFrame, count: int) -> DataFrame:
+        if self.route is None:
+            return table.withColumn("parts", F.array(F.lit(0)))
+        return table.mapInArrow(_route(self.route, self.size, count), "vec_id long, vector array<double>, parts array<int>")
+
+    def scanned(self) -> float:
+        """The share of the rows that a query is compared with, on average."""
+        sizes = self.index.groupBy("part").agg(F.count("*").alias("rows"))
+        pairs = self.asked.join(sizes, "part").agg(F.sum("rows")).first()[0] or 0
+        return pairs / max(1, self.index.count() * self.asked.select("vec_id").distinct().count())
+
+
 def nearest_vectors(vectors: DataFrame, every: int = 100, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query.
 
@@ -191,33 +317,12 @@ def nearest_vectors(vectors: DataFrame, every: int = 100, k: int = 10, id_column
     candidates; a repeated query counts once, as its first vector. Without two
     usable rows nothing is found.
     """
-    vector = vectors[vector_column].cast("array<double>")
-    rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vector.alias("vector"))
-    finite = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    usable = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").collect()
-    sizes = [len(r[0]) for r in sample]
-    size = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
+    search = Search(vectors, every, id_column, vector_column)
+    index, asked, size = search.index, search.asked, search.size
     found = "query_id long, vec_id long, score double"
-    fitting = np.array([r[0] for r in sample if len(r[0]) == size], float).reshape(-1, max(size, 1))
-    if len(np.unique(fitting, axis=0)) < 2 * PARTITIONS:
-        probes, route = 1, None  # too few different vectors to tell partitions apart: one for all
-    else:
-        router, probes = fit(fitting)
-        route = router
-    usable = usable.filter(F.size("vector") == size)
-
-    def parts(table: DataFrame, count: int) -> DataFrame:
-        if route is None:
-            return table.withColumn("parts", F.array(F.lit(0)))
-        return table.mapInArrow(_route(route, size, count), "vec_id long, vector array<double>, parts array<int>")
-
-    index = stored(parts(usable, 1).select("vec_id", "vector", F.col("parts")[0].alias("part")))
-    queries = usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = stored(parts(queries, probes).select("vec_id", "vector", F.explode("parts").alias("part")))
 
     def blocks(table: DataFrame, rows_each: int, name: str) -> DataFrame:
-        """For each partition, the number of blocks; there are few partitions."""
+        """For each partition, the number of blocks; there are ``PARTITIONS`` times ``INNER`` partitions at most."""
         return F.broadcast(table.groupBy("part").agg(F.ceil(F.count("*") / rows_each).cast("int").alias(name)))
 
     def ranked(asked: DataFrame) -> DataFrame:
@@ -233,12 +338,12 @@ def nearest_vectors(vectors: DataFrame, every: int = 100, k: int = 10, id_column
         return met.mapInArrow(_rerank(size, k), found)
 
     near = ranked(asked)
-    if route is not None and probes < PARTITIONS:
+    if search.route is not None and search.probes < search.partitions:
         # Where the probed partitions hold fewer than k candidates, all are asked.
         near = stored(near)
         full = near.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_id")
         short = asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "vector").distinct()
-        again = stored(short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1)))))
+        again = stored(short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(search.partitions - 1)))))
         near = near.join(full, "query_id", "left_semi").select("query_id", "vec_id", "score").union(ranked(again))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
