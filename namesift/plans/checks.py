@@ -490,8 +490,8 @@ ratios as (
 
 
 def half_up(value: str) -> str:
-    """Six decimals, ties of the decimal value upwards."""
-    return f"round(cast({value} as decimal(20, 12)), 6)::double"
+    """Six decimals, ties of a value as it is written upwards."""
+    return f"round(cast(({value})::varchar as decimal(30, 20)), 6)::double"
 
 
 def sequence_matches(left: str, right: str, threshold: float) -> str:
