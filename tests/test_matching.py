@@ -251,3 +251,24 @@ def test_files_of_a_hot_name_are_cut_by_their_pairs(spark, monkeypatch):
     assert cut
     for rows, by in cut:
         assert max(r["count"] for r in rows.groupBy(*by).count().collect()) <= 60
+
+
+def test_file_pairs_are_formed_after_the_last_shuffle(spark, monkeypatch):
+    from namesift.operators import match
+
+    for name, value in (("FILES_PER_LIST", 3), ("MATCHES_PER_TASK", 40), ("LEAST_PER_TASK", 10), ("PLACES", 7), ("FILES_PER_PLACE", 4)):
+        monkeypatch.setattr(match, name, value)
+    kinds = [("same name.txt", 5), ("same name.TXT", None), ("same name two.txt", 5), ("other.pdf", 0)]
+    left = spark.createDataFrame([(*kinds[i % 4], None if i == 8 else f"l/{i * 7 % 41:02}") for i in range(41)], "name string, size long, path string")
+    right = spark.createDataFrame([(*kinds[i % 4], f"r/{i:02}") for i in range(30)], "name string, size long, path string")
+    for use_tfidf, threshold in ((True, 0.1), (False, 0.5), (True, 0.0)):
+        matches = find_duplicates(left, right, threshold, use_tfidf)
+        plan = matches._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode(file2_files") < plan.index("RepartitionByExpression")
+        rows = matches.collect()
+        assert matches.rdd.getNumPartitions() > 4  # more pairs, more tasks
+        ends = [(stem_and_ext(n)[1], *p) for n, *p in map(tuple, left.select("name", "path").collect())]
+        assert len(rows) == sum((e, f) in ((".txt", ".txt"), (".pdf", ".pdf")) for e, _ in ends for f in [stem_and_ext(kinds[i % 4][0])[1] for i in range(30)])
+        order = [(r.confidence is None, -(r.confidence or 0), r.file1_path is not None, r.file1_path or "", r.file2_path) for r in rows]
+        assert order == sorted(order) and len(set(order)) > len(rows) // 2
+        assert sorted(map(str, rows)) == sorted(map(str, find_duplicates(left, right, threshold, use_tfidf, ordered=False).collect()))
