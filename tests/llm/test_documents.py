@@ -415,3 +415,20 @@ def test_repeated_id_with_different_texts(spark):
     assert near == {(5, 5, True), (5, 3, False)}
     kept = Counter((r.doc_id, r.text) for r in minhash.without_near_copies(docs).collect())
     assert kept == {(3, first): 1, (5, own): 1, (None, first): 1}
+
+
+def test_words_of_chunks_are_found_in_small_slices(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from namesift.llm import ngrams
+
+    sizes = []
+    monkeypatch.setattr(ngrams, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(ngrams, "words_of", lambda data, offsets, _f=ngrams.words_of: sizes.append(len(data)) or _f(data, offsets))
+    texts = [f"word{i} other " * 30_000 for i in range(12)]
+    made = list(ngrams._chunks([pa.record_batch([pa.array(range(12)), pa.array(texts)], ["doc_id", "text"])]))
+    assert max(sizes) <= 512 << 10
+    assert sum(b.column("n")[0].as_py() for b in made) == 12 * 60_000
+    assert [i for b in made for i in b.column("ids")[0].as_py()] == list(range(12))
