@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..operators.skew import split_join, split_lookup
 from ..operators.stored import stored
-from .common import U64, bytes_of, mixed, slices, text_rows, windows_in_texts, words_of
+from .common import CACHED_BYTES, TEXT_ROWS, U64, bytes_of, mixed, slices, text_rows, windows_in_texts, words_of
 from .graph import components
 
 WORDS = 5
@@ -99,7 +99,7 @@ def _profile(length: int):
     factors = _odd(2 * length)
 
     def profile(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=CACHED_BYTES):
             data, offsets = bytes_of(part.column("text"))
             hashes, of = shingle_sets(data, offsets)
             count = np.bincount(of, minlength=part.num_rows)
@@ -125,7 +125,7 @@ def _profile(length: int):
 
 def _digests(batches):
     """The set of each text by size and digests, with the row's id and text hashes."""
-    for part in slices(batches):
+    for part in slices(batches, limit=CACHED_BYTES):
         hashes, of = shingle_sets(*bytes_of(part.column("text")))
         count = np.bincount(of, minlength=part.num_rows)
         full = np.flatnonzero(count)
@@ -139,7 +139,7 @@ def _digests(batches):
 
 
 def _sets(batches):
-    for part in slices(batches):
+    for part in slices(batches, limit=CACHED_BYTES):
         hashes, of = shingle_sets(*bytes_of(part.column("text")))
         ends = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
         yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
@@ -203,7 +203,7 @@ class _Search:
         bands, per_band = bands_for(percent)
         self.least = least_agreements(percent, bands * per_band)
         rows = text_rows(docs)
-        self.profile = stored(rows.mapInArrow(_profile(bands * per_band), PROFILE))
+        self.profile = stored(rows.mapInArrow(_profile(bands * per_band), PROFILE), TEXT_ROWS)
         in_graph = self.profile.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         self.nodes = stored(
             in_graph.groupBy("h1", "h2", "n_shingles")
@@ -219,7 +219,7 @@ class _Search:
         # Signatures and sets are needed for nodes that share a band only.
         self.signed = stored(self.nodes.select("node", "n_shingles", "signature").join(weights, "node"))
         candidates = self.signed.select(F.col("node").alias("doc_id")).distinct()
-        self.sets = stored(rows.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<bigint>"))
+        self.sets = stored(rows.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<bigint>"), TEXT_ROWS)
         self.plausible = _plausible(self.least)
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def without_near_copies(docs: DataFrame, percent: int = 85, id_column: str = "do
         {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
     )
     sets = hashed.mapInArrow(_digests, "doc_id long, t1 long, t2 long, n_shingles long, h1 long, h2 long")
-    texts = stored(sets.join(gone, ["doc_id", "n_shingles", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "t1", "t2").distinct())
+    texts = stored(sets.join(gone, ["doc_id", "n_shingles", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "t1", "t2").distinct(), TEXT_ROWS)
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_column].cast("long").alias("id"),

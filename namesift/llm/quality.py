@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bytes_of, mixed, slices, windows_in_texts, words_of
+from .common import CACHED_BYTES, U64, bytes_of, mixed, slices, windows_in_texts, words_of
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
@@ -78,7 +78,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 def text_statistics(texts: pa.Array) -> pa.Array:
     """``STATISTICS`` of each text as a struct; a null text counts as empty."""
     texts = pa.compute.fill_null(texts, "")
-    parts = [statistics(part.column("text")) for part in slices([pa.record_batch([texts], ["text"])])]
+    parts = [statistics(part.column("text")) for part in slices([pa.record_batch([texts], ["text"])], limit=CACHED_BYTES)]
     table = np.concatenate(parts) if parts else np.empty((0, len(STATISTICS)))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], list(STATISTICS))
 

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -198,6 +199,18 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert collected(suffixes.remove_repeats(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_tables_of_texts_stay_small():
+    """What a slice of texts needs at a time follows the slice."""
+    texts = pa.record_batch([pa.array(range(400)), pa.array([prose(i, 2000) for i in range(40)] * 10)], ["doc_id", "text"])
+    for run in (minhash._profile(10), minhash._sets, lambda batches: [quality.text_statistics.func(b.column("text")) for b in batches]):
+        tracemalloc.start()
+        for _ in run([texts]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 << 20
+
+
 def test_groups_stay_whole_over_batches():
     r = np.random.default_rng(6)
     for _ in range(200):
