@@ -199,6 +199,35 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert collected(suffixes.remove_repeats(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_shared_anchors_move_packed():
+    """A chunk sends an anchor to its bucket twice at most, however many texts have it, and no text loses a shared one."""
+    r = np.random.default_rng(8)
+    for bits in (0, 2, 3):
+        anchor = r.integers(0, 60, 4000).astype(np.uint64)
+        of = r.integers(-9, 9, 4000) * (anchor.astype(np.int64) % 7 > 1)
+        chunks = [suffixes._packed(anchor[i::5], of[i::5], bits) for i in range(5)]
+        for c in chunks:
+            sent = [a for b, p in zip(*(c.column(x).to_pylist() for x in ("bucket", "anchors")), strict=True) if b < 1 << bits for a in np.frombuffer(p, np.uint64).tolist()]
+            assert max(Counter(sent).values()) <= 2
+        rows = pa.Table.from_batches(chunks).sort_by("bucket").to_batches(max_chunksize=3)
+        found = {(c, a) for b in suffixes._shared(bits)(rows) for c, own in zip(*(b.column(x).to_pylist() for x in ("class", "anchors")), strict=True) for a in own}
+        held = {}
+        for a, c in zip(anchor.tolist(), of.tolist(), strict=True):
+            held.setdefault(a, set()).add(c)
+        assert found == {(c, a) for a, classes in held.items() if len(classes) > 1 for c in classes}
+
+
+def test_anchor_is_the_leftmost_least_gram():
+    r = np.random.default_rng(9)
+    texts = [r.choice(list(b"ab"), n).astype(np.uint8).tobytes() for n in (50, 400, 51, 900, 49, 70)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    grams = suffixes.Rolling(data).grams(suffixes.GRAM)
+    want = {(i, s, min(range(s, s + suffixes.OFFSETS), key=lambda g: (int(grams[g]) >> 32, g))) for i in range(len(texts)) for s in range(offsets[i], offsets[i + 1] - suffixes.LENGTH + 1)}
+    pieces = list(zip(*(x.tolist() for x in suffixes.anchored(data, offsets)), strict=True))
+    assert {(i, s, where) for i, start, count, where, _ in pieces for s in range(start, start + count)} == want
+    assert all(h == int(grams[where]) for *_, where, h in pieces)
+
+
 def test_tables_of_texts_stay_small():
     """What a slice of texts needs at a time follows the slice."""
     texts = pa.record_batch([pa.array(range(400)), pa.array([prose(i, 2000) for i in range(40)] * 10)], ["doc_id", "text"])
