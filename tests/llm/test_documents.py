@@ -217,6 +217,28 @@ def test_shared_anchors_move_packed():
         assert found == {(c, a) for a, classes in held.items() if len(classes) > 1 for c in classes}
 
 
+def test_shared_anchors_go_back_packed():
+    """A bucket sends a row to each part of the classes, however many classes it has, and a class gets all its anchors in one row."""
+    r = np.random.default_rng(10)
+    for bits in (0, 3):
+        anchor = r.integers(0, 900, 6000).astype(np.uint64)
+        of = r.integers(-(1 << 62), 1 << 62, 500)[r.integers(0, 500, 6000)]
+        chunks = [suffixes._packed(anchor[i::5], of[i::5], bits) for i in range(5)]
+        rows = pa.Table.from_batches(chunks).sort_by("bucket").to_batches(max_chunksize=3)
+        sent = pa.Table.from_batches(suffixes._parted(bits)(rows))
+        assert sent.num_rows <= 2 << 2 * bits
+        lists = [x for b in suffixes._gathered(sent.sort_by("part").to_batches(max_chunksize=5)) for x in zip(*(b.column(c).to_pylist() for c in ("class", "anchors")), strict=True)]
+        held = {}
+        for a, c in zip(anchor.tolist(), of.tolist(), strict=True):
+            held.setdefault(a, set()).add(c)
+        want = {}
+        for a, classes in held.items():
+            for c in classes if len(classes) > 1 else ():
+                want.setdefault(c, set()).add(a)
+        assert len(lists) == len(want)
+        assert {c: set(own) for c, own in lists} == want
+
+
 def test_anchor_is_the_leftmost_least_gram():
     r = np.random.default_rng(9)
     texts = [r.choice(list(b"ab"), n).astype(np.uint8).tobytes() for n in (50, 400, 51, 900, 49, 70)]
